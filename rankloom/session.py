@@ -70,3 +70,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """``df`` persisted with spilling to disk, for reuse inside one query."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that outweighs moving the rows.
+
+    A scan of a large table has more partitions than that and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
