@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import word_count
 from rankloom.llm.words import gram_hashes
+from rankloom.session import spread
 
 #: Labelled documents that the model is fitted on: those of smallest hash, at most so many.
 TRAIN_DOCS = 4000
@@ -37,8 +38,7 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 
-_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-_WORDISH = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _BULLET = re.compile(r"\s*(?:[-*•·–—→‣▪◦>»+|]\s*\S|\(?[0-9]{1,4}[.):]\s|\(?[a-zA-Z][.)]\s|[ivxlc]{1,6}[.)]\s|\{\{|\|)")
 _END = re.compile(r"[.!?…:;][\"'»”’)\]]*\s*$")
 _GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
@@ -46,8 +46,6 @@ _VOWEL = re.compile(r"[aeiouáéíóúàâãêôõüyAEIOUÁÉÍÓÚÀÂÃÊÔÕ
 _ODD = re.compile(r"[^\w\s.,;:!?¡¿'\"«»()\-—–“”‘’…%°²ªº/&]|[\x00-\x08\x0e-\x1f�_]")
 _INNER = re.compile(r"\w[^\w\s]+\w\S*")
 _DELIMITER = re.compile(r"[|;\t\"=]|  ")
-_DIGIT = re.compile(r"\d")
-_BROKEN = re.compile(r"[ÂÃâ¢€�][^\s]?")
 
 FEATURES = [
     "function_share", "function_kinds", "digit_share", "odd_share", "word_length", "words_per_line", "lines_ended", "bullets", "aligned",
@@ -62,25 +60,28 @@ def _delimiters(line: str) -> tuple[int, ...]:
     return line.count("|"), line.count(";"), line.count("\t"), line.count('","'), line.count("||"), len(_GAPS.findall(line)), line.count("="), commas
 
 
-def _aligned(shapes: list[tuple[int, ...]]) -> list[bool]:
-    """Whether a line shares a delimiter, as many times, with the line before or after; commas count from three on."""
+def _aligned(shapes: list[tuple[int, ...]], owner: list[int]) -> list[bool]:
+    """Whether a line shares a delimiter, as many times, with the line of its text before or after; commas count from three on."""
     out = [False] * len(shapes)
     for i in range(1, len(shapes)):
         a, b = shapes[i - 1], shapes[i]
+        if owner[i] != owner[i - 1]:
+            continue
         if (a[7] == b[7] >= 3) or (any(a[:7]) and any(x == y > 0 for x, y in zip(a[:7], b[:7], strict=True))):
             out[i - 1] = out[i] = True
     return out
 
 
-def _repeats(tokens: list[str], n: int = 10, times: int = 3) -> np.ndarray:
-    """Words within a run of ``n`` words that the text has at least ``times`` times."""
+def _repeats(tokens: list[str], owner: np.ndarray, n: int = 10, times: int = 3) -> np.ndarray:
+    """Words within a run of ``n`` words that their text has at least ``times`` times."""
     out = np.zeros(len(tokens), bool)
     if len(tokens) < n + times - 1:
         return out
     runs = gram_hashes(np.array([hash(t) for t in tokens], np.int64).view(np.uint64), n)
-    _, which, count = np.unique(runs, return_inverse=True, return_counts=True)
-    for at in np.flatnonzero(count[which] >= times):
-        out[at : at + n] = True
+    at = np.flatnonzero(owner[: len(runs)] == owner[n - 1 :])
+    _, which, count = np.unique(runs[at] ^ (owner[at].astype(np.uint64) << np.uint64(40)), return_inverse=True, return_counts=True)
+    for i in at[count[which] >= times].tolist():
+        out[i : i + n] = True
     return out
 
 
@@ -93,84 +94,161 @@ def _autocorrelation(values: list[int], lag: int) -> float:
     return float((x[lag:] * x[:-lag]).sum() / power) if power else 1.0
 
 
-class Shape:
-    """The shape of one text: its lines and pieces between white space, with what is known of each line."""
+# Bits of a character's class.
+_LETTER, _DIGITS, _VOWELS, _UPPER, _STRANGE, _BROKE = 1, 2, 4, 8, 16, 32
+
+
+def _char_classes() -> np.ndarray:
+    """Class of each character of the basic plane; the rest count as strange, but for letters."""
+    out = np.zeros(0x10000, np.uint8)
+    for code in range(0x10000):
+        c = chr(code)
+        if c.isalpha():
+            out[code] = _LETTER | (_VOWELS if _VOWEL.match(c) else 0) | (_UPPER if c.isupper() else 0)
+        elif c.isdecimal():
+            out[code] = _DIGITS
+        elif not 0xD800 <= code < 0xE000 and _ODD.match(c):
+            out[code] = _STRANGE
+    for c in "ÂÃâ¢€�":
+        out[ord(c)] |= _BROKE
+    return out
+
+
+_CLASSES: list[np.ndarray] = []
+
+
+def _classes(text: str) -> np.ndarray:
+    if not _CLASSES:
+        _CLASSES.append(_char_classes())
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) and codes.max() >= 0x10000:
+        out = _CLASSES[0][np.minimum(codes, 0xFFFF)]
+        high = codes >= 0x10000
+        out[high] = [_LETTER if chr(c).isalpha() else _STRANGE for c in codes[high]]
+        return out
+    return _CLASSES[0][codes]
 
-    def __init__(self, text: str) -> None:
-        self.lines = [line for line in _LINES.split(text) if line.strip()]
+
+class Shape:
+    """The shapes of some texts: their lines and pieces between white space, with what is known of each line and character."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.lines: list[str] = []
+        self.text_of_line: list[int] = []
+        for n, text in enumerate(texts):
+            own = [line for line in _LINES.split(text) if line and not line.isspace()]
+            self.lines += own
+            self.text_of_line += [n] * len(own)
         self.pieces = [line.split() for line in self.lines]
-        self.bullet = [bool(_BULLET.match(line)) for line in self.lines]
-        self.ended = [bool(_END.search(line)) for line in self.lines]
+        self.bullet = [_BULLET.match(line) is not None for line in self.lines]
+        self.ended = [_END.search(line) is not None for line in self.lines]
         self.shapes = [_delimiters(line) for line in self.lines]
-        self.aligned = _aligned(self.shapes)
-        flat = [p for own in self.pieces for p in own]
-        self.words = len(flat)
-        self.repeated = _repeats(flat)
-        self.indents = [len(line) - len(line.lstrip()) for line in self.lines]
-
-    def stretches(self, size: int = STRETCH) -> Iterator[tuple[list[str], np.ndarray, list[int]]]:
-        """(pieces, repeated, lines) of consecutive stretches of about ``size`` words; long lines are cut."""
-        pieces: list[str] = []
+        self.aligned = _aligned(self.shapes, self.text_of_line)
+        self.flat = [p for own in self.pieces for p in own]
+        self.words = len(self.flat)
+        self.joined = " ".join(self.flat)
+        self.classes = _classes(self.joined)
+        self.sizes = np.fromiter(map(len, self.flat), np.int64, self.words)
+        owner = np.repeat(np.array(self.text_of_line, np.int64), [len(own) for own in self.pieces])
+        self.repeated = _repeats(self.flat, owner)
+        letter = (self.classes & _LETTER) > 0
+        edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
+        self.starts, self.stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # of the runs of letters
+        self.found = [self.joined[i:j].lower() for i, j in zip(self.starts.tolist(), self.stops.tolist(), strict=True)]
+        self.function = np.fromiter((w in FUNCTION_WORDS for w in self.found), bool, len(self.found))
+
+    @property
+    def indents(self) -> list[int]:
+        """Characters before the text of each line."""
+        return [len(line) - len(line.lstrip()) for line in self.lines]
+
+    def stretches(self, size: int = STRETCH) -> tuple[list[int], list[list[int]]]:
+        """Consecutive stretches of about ``size`` pieces, long lines being cut: where each begins, with the end of the last,
+        and the lines of each."""
+        cuts, rows = [0], []
         lines: list[int] = []
-        at = chars = begun = 0
+        at = chars = 0
+        sizes = self.sizes.tolist()
+        text = -1
         for n, own in enumerate(self.pieces):
+            if self.text_of_line[n] != text:
+                text = self.text_of_line[n]
+                if lines:
+                    cuts.append(at)
+                    rows.append(lines)
+                    lines, chars = [], 0
             for start in range(0, max(1, len(own)), size):
-                part = own[start : start + size]
-                pieces += part
-                at += len(part)
+                part = min(size, len(own) - start)
+                chars += sum(sizes[at : at + part])
+                at += part
                 lines.append(n)
-                chars += sum(map(len, part))
-                if len(pieces) >= size or chars >= 8 * size:
-                    yield pieces, self.repeated[begun:at], lines
-                    pieces, lines, chars, begun = [], [], 0, at
-        if pieces:
-            yield pieces, self.repeated[begun:at], lines
-
-    def features(self, pieces: list[str], repeated: np.ndarray, lines: list[int]) -> list[float]:
-        """The features of a stretch, in the order of FEATURES."""
-        joined = " ".join(pieces)
-        solid = max(1, sum(map(len, pieces)))
-        found = _WORDISH.findall(joined)
-        low = [w.lower() for w in found]
-        function = [w for w in low if w in FUNCTION_WORDS]
-        n, m = max(1, len(pieces)), max(1, len(found))
-        letters = sum(map(len, found))
-        rows = max(1, len(lines))
-        per_line = len(pieces) / rows
-        hard = sum(len(w) > 3 and (not (v := len(_VOWEL.findall(w))) or len(w) > 5 * v) for w in low)
-        inner = len(_INNER.findall(joined))
-        return [
-            len(function) / m,
-            len(set(function)) / min(m, STRETCH),
-            len(_DIGIT.findall(joined)) / solid,
-            len(_ODD.findall(joined)) / solid,
-            min(letters / m, 20.0),
-            float(np.log1p(per_line)),
-            sum(self.ended[i] for i in lines) / rows,
-            sum(self.bullet[i] for i in lines) / rows,
-            sum(self.aligned[i] for i in lines) / rows,
-            sum(len(self.pieces[i]) <= 5 and not self.ended[i] for i in lines) / rows,
-            sum(w[0].isupper() for w in found) / m,
-            float(repeated.sum()) / n,
-            len(_VOWEL.findall(joined)) / max(1, letters),
-            hard / m,
-            inner / n,
-            sum(len(p) > 25 for p in pieces) / n + solid / n / 50,
-            sum(p[-1] in ".!?…" or p[-2:] in ('."', ".»", ".”") for p in pieces) / n,
-            len(_BROKEN.findall(joined)) / n,
-            letters / solid,
-            sum(self.shapes[i][5] > 0 for i in lines) / rows,
-        ]
-
-
-def stretch_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each stretch of ``text``, and the stretches' weights: their characters without white space."""
-    shape = Shape(text)
-    rows, weights = [], []
-    for pieces, repeated, lines in shape.stretches():
-        rows.append(shape.features(pieces, repeated, lines))
-        weights.append(float(sum(map(len, pieces))))
-    return np.array(rows).reshape(-1, len(FEATURES)), np.array(weights)
+                if at - cuts[-1] >= size or chars >= 8 * size:
+                    cuts.append(at)
+                    rows.append(lines)
+                    lines, chars = [], 0
+        if at > cuts[-1]:
+            cuts.append(at)
+            rows.append(lines)
+        return cuts, rows
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The features of each stretch, in the order of FEATURES, its characters without white space, and its text."""
+        cuts, rows = self.stretches()
+        if not rows:
+            return np.empty((0, len(FEATURES))), np.empty(0), np.empty(0, np.int64)
+        pieces = np.diff(cuts)
+        ends = np.cumsum(self.sizes + 1)  # behind the space after each piece
+        places = np.concatenate([[0], ends[np.array(cuts[1:]) - 1]])
+        at = places[:-1]
+        count = lambda bit: np.add.reduceat((self.classes & bit) > 0, at, dtype=np.int64)
+        solid = np.maximum(1, np.add.reduceat(self.sizes, cuts[:-1]))
+        letters, vowels = count(_LETTER), count(_VOWELS)
+        runs = np.searchsorted(self.starts, places)
+        found = np.maximum(1, np.diff(runs))
+        long = self.stops - self.starts
+        of_runs = np.concatenate([[0], np.cumsum((self.classes & _VOWELS) > 0)])
+        run_vowels = of_runs[self.stops] - of_runs[self.starts]
+        hard = (long > 3) & ((run_vowels == 0) | (long > 5 * run_vowels))
+        within = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[runs])
+        by_piece = lambda flags: np.add.reduceat(flags, cuts[:-1], dtype=np.int64)
+        ended = np.fromiter((p[-1] in ".!?…" or p[-2:] in ('."', ".»", ".”") for p in self.flat), bool, self.words)
+        bounds = places.tolist()
+        inner = np.array([len(_INNER.findall(self.joined, i, j)) for i, j in zip(bounds, bounds[1:], strict=False)])
+        function = self.function.nonzero()[0]
+        owner = np.searchsorted(runs, function, "right") - 1
+        kinds = np.zeros(len(rows))
+        for n, _ in {(n, self.found[w]) for n, w in zip(owner.tolist(), function.tolist(), strict=True)}:
+            kinds[n] += 1
+        lines = np.array([len(r) for r in rows])
+        share = lambda flags: np.array([sum(flags[i] for i in r) for r in rows]) / lines
+        short = [len(own) <= 5 and not end for own, end in zip(self.pieces, self.ended, strict=True)]
+        out = np.column_stack([
+            within(self.function) / found, kinds / np.minimum(found, STRETCH), count(_DIGITS) / solid, count(_STRANGE) / solid, np.minimum(letters / found, 20.0),
+            np.log1p(pieces / lines), share(self.ended), share(self.bullet), share(self.aligned), share(short),
+            within((self.classes[self.starts] & _UPPER) > 0) / found, by_piece(self.repeated) / pieces, vowels / np.maximum(1, letters), within(hard) / found,
+            inner / pieces, by_piece(self.sizes > 25) / pieces + solid / pieces / 50, by_piece(ended) / pieces, count(_BROKE) / pieces, letters / solid,
+            share([s[5] > 0 for s in self.shapes]),
+        ])
+        return out, solid.astype(float), np.array([self.text_of_line[r[0]] for r in rows])
+
+
+def stretch_features(texts: list[str], chars: int = 400_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the features of its stretches, and their weights: the characters without white space.
+
+    Texts are measured together, as many as have about ``chars`` characters; each by itself would give the same.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    batch: list[str] = []
+    size = 0
+    for n, text in enumerate(texts):
+        batch.append(text)
+        size += len(text)
+        if size >= chars or n == len(texts) - 1:
+            rows, weights, owner = Shape(batch).features()
+            bounds = np.searchsorted(owner, np.arange(len(batch) + 1))
+            out += [(rows[a:b], weights[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            batch, size = [], 0
+    return out
 
 
 def _expanded(rows: np.ndarray) -> np.ndarray:
@@ -192,6 +270,8 @@ class ProseModel:
         else:
             z = np.hstack([(_expanded(rows) - self.mean) / self.spread, np.ones((len(rows), 1))])
             out = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        # What the text says again and again is junk, whatever it says.
+        out = 1 - (1 - out) * (1 - rows[:, at("repeated")])
         # Pieces of letters as long as lines: words run together.
         out[(rows[:, at("long_pieces")] > 0.8) & (rows[:, at("letters_share")] > 0.7)] = 1.0
         return out
@@ -226,12 +306,24 @@ class ProseModel:
         return cls(mean, spread, b)
 
 
+def other_shares(texts: list[str | None], model: ProseModel) -> list[float | None]:
+    """Share of each text, by characters, that is no prose; null for null, empty and blank texts."""
+    sound = [n for n, t in enumerate(texts) if t and t.strip()]
+    out: list[float | None] = [None] * len(texts)
+    measured = stretch_features([texts[n] for n in sound])
+    if measured:
+        other = model.other(np.vstack([rows for rows, _ in measured]))
+        at = 0
+        for n, (rows, weights) in zip(sound, measured, strict=True):
+            total = weights.sum()
+            out[n] = float((other[at : at + len(rows)] * weights).sum() / total) if total else None
+            at += len(rows)
+    return out
+
+
 def other_share(text: str | None, model: ProseModel) -> float | None:
-    """Share of ``text``, by characters, that is no prose; null for null, empty and blank texts."""
-    if not text or not text.strip():
-        return None
-    rows, weights = stretch_features(text)
-    return float((model.other(rows) * weights).sum() / weights.sum()) if weights.sum() else None
+    """``other_shares`` of one text."""
+    return other_shares([text], model)[0]
 
 
 _STATS = [
@@ -244,18 +336,17 @@ def text_shape(text: str | None, model: ProseModel | None = None) -> dict[str, f
     """The statistics of one text. Without words every share is 0."""
     if not text or not text.strip():
         return dict.fromkeys(_STATS, 0.0) | {"lines": 0, "other_share": None}
-    shape = Shape(text)
-    joined = " ".join(p for own in shape.pieces for p in own)
-    solid, found = max(1, len(joined) - shape.words + 1), _WORDISH.findall(joined)
-    n, rows = max(1, len(found)), max(1, len(shape.lines))
+    shape = Shape([text])
+    solid, n, rows = max(1, int(shape.sizes.sum())), max(1, len(shape.found)), max(1, len(shape.lines))
+    share = lambda bit: float(((shape.classes & bit) > 0).sum()) / solid
     lengths = [len(x) for x in shape.lines]
     return {
-        "mean_word_length": sum(map(len, found)) / n,
-        "symbol_ratio": len(_ODD.findall(joined)) / solid,
-        "digit_ratio": len(_DIGIT.findall(joined)) / solid,
+        "mean_word_length": float((shape.stops - shape.starts).sum()) / n,
+        "symbol_ratio": share(_STRANGE),
+        "digit_ratio": share(_DIGITS),
         "lines": len(shape.lines),
         "ended_line_share": sum(shape.ended) / rows,
-        "common_word_share": sum(w.lower() in FUNCTION_WORDS for w in found) / n,
+        "common_word_share": float(shape.function.sum()) / n,
         "bullet_line_share": sum(shape.bullet) / rows,
         "delimiter_alignment": sum(shape.aligned) / rows,
         "indent_period": max((_autocorrelation(shape.indents, lag) for lag in (1, 2, 3, 4)), default=0.0) if any(shape.indents) else 0.0,
@@ -277,7 +368,7 @@ def fit_prose_model(docs: DataFrame, labels: DataFrame, key: str = "docid", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [stretch_features(t)[0] for t in batch.column("text").to_pylist()]
+            out = [rows for rows, _ in stretch_features(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("other"), pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int32()), pa.array([x.ravel().tolist() for x in out], pa.list_(pa.float64()))],
                 names=["key", "other", "size", "rows"],
@@ -311,7 +402,7 @@ def share_of_other(text: Column, model: ProseModel) -> Column:
 
     @F.arrow_udf("double")
     def share(texts: pa.Array) -> pa.Array:
-        return pa.array([other_share(t, model) for t in texts.to_pylist()], pa.float64())
+        return pa.array(other_shares(texts.to_pylist(), model), pa.float64())
 
     return share(text)
 
@@ -325,7 +416,7 @@ def text_statistics(df: DataFrame, text: str, model: ProseModel | None = None, c
     """
     fresh = word_count(F.col(f"`{text}`"))
     names = ["words", *(["words_claimed_right"] if claimed else []), *_STATS, *(["other_share"] if model else [])]
-    out = df.withColumn("__shape", shape_of(F.col(f"`{text}`"), model)).withColumn("__words", fresh)
+    out = spread(df).withColumn("__shape", shape_of(F.col(f"`{text}`"), model)).withColumn("__words", fresh)
     extra = [F.col("__words").alias("words")]
     if claimed:
         extra.append(F.coalesce(F.col(f"`{claimed}`") == F.col("__words"), F.lit(False)).alias("words_claimed_right"))
@@ -339,5 +430,5 @@ def not_prose(docs: DataFrame, labels: DataFrame, key: str = "docid", text: str
     Null, empty and blank texts are no cases, null keys neither; a key with several texts counts if one of them does.
     """
     model = fit_prose_model(docs, labels, key, text, label)
-    sound = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
+    sound = spread(docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text))
     return sound.where(share_of_other(F.col(text), model) > 0.5).select(key).distinct()

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.quality import ProseModel, other_share
+from rankloom.llm.quality import ProseModel, other_shares
 from rankloom.llm.words import words
-from rankloom.session import cut_lineage
+from rankloom.session import cut_lineage, spread
 
 #: Words of the corpus vocabulary; rarer words share the rank after the last. This bounds what is sent to every task.
 VOCABULARY = 50_000
@@ -83,21 +83,17 @@ def corpus_vocabulary(tokens: DataFrame, column: str = "words", size: int = VOCA
 
 
 def _prose(model: ProseModel, least: int):  # noqa: ANN202
-    """Rows (key, text) to (key, text, words, prose): normalised words, and whether it is running prose of ``least`` words."""
+    """Rows (key, text) to (key, text, words): the normalised words, and the text if it is running prose of ``least`` words, else null."""
     schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("words", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, tokens = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = words(text)
-                if not own:
-                    continue
-                enough = len(text.split()) >= least and (other_share(text, model) or 0.0) <= 0.5
-                keys.append(key)
-                texts.append(text if enough else None)
-                tokens.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(tokens, pa.list_(pa.string()))], schema=schema)
+            given = batch.column("text").to_pylist()
+            tokens = [words(t) for t in given]
+            enough = [bool(w) and len(t.split()) >= least for t, w in zip(given, tokens, strict=True)]
+            other = other_shares([t if e else None for t, e in zip(given, enough, strict=True)], model)
+            texts = [t if e and (o or 0.0) <= 0.5 else None for t, e, o in zip(given, enough, other, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string()), pa.array(tokens, pa.list_(pa.string()))], schema=schema)
 
     return run
 
@@ -169,7 +165,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, prose: ProseModel, key: s
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    read = cut_lineage(rows.mapInArrow(_prose(prose, least), "key bigint, text string, words array<string>"))
+    read = cut_lineage(spread(rows).mapInArrow(_prose(prose, least), "key bigint, text string, words array<string>"))
     # At most ``vocabulary`` words.
     corpus = {r["word"]: n for n, r in enumerate(corpus_vocabulary(read, "words", vocabulary).collect(), 1)}
     votes = labels.where(F.col(grade).isin(*GRADES) & F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("key"), F.col(grade).cast("int").alias("grade")).count()
