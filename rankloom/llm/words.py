@@ -19,6 +19,8 @@ _LOOKALIKES = {
 _TABLE = str.maketrans(_LOOKALIKES)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*\r?\n\s*(?=[^\W\d_])")
+# Greek and Cyrillic, and the dotless i.
+_FOREIGN = re.compile("[\u0131\u0370-\u052f]")
 _WORD = re.compile(r"[^\W_]+")
 # Combining marks, and invisible and control characters.
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u00ad\u0600-\u0605\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u20d0-\u20f0\ufe00-\ufe0f\ufe20-\ufe2f\ufeff\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
@@ -48,10 +50,12 @@ def clean(text: str) -> str:
     if "Ã" in text or "Â" in text:
         text = _MOJIBAKE_1252.sub(_repair, _MOJIBAKE.sub(_repair, text))
     text = _HYPHEN.sub("", text)
-    text = unicodedata.normalize("NFKD", text.translate(_TABLE))
+    text = unicodedata.normalize("NFKD", text)
     if not text.isascii():
         text = _MARKS.sub("", text)
-    return text.lower().translate(_TABLE)
+        if _FOREIGN.search(text):
+            text = text.translate(_TABLE)
+    return text.lower()
 
 
 def words(text: str | None) -> list[str]:
@@ -66,14 +70,14 @@ def word_hashes(tokens: list[str]) -> np.ndarray:
     """64-bit hash of each word. The cache is bounded; what it holds does not change the result."""
     if len(_HASHES) > 1_000_000:
         _HASHES.clear()
-    get = _HASHES.get
-    out = np.empty(len(tokens), np.uint64)
-    for i, t in enumerate(tokens):
-        h = get(t)
+    known = _HASHES
+    out = []
+    for t in tokens:
+        h = known.get(t)
         if h is None:
-            h = _HASHES[t] = xxhash.xxh64_intdigest(t.encode())
-        out[i] = h
-    return out
+            h = known[t] = xxhash.xxh64_intdigest(t.encode())
+        out.append(h)
+    return np.array(out, np.uint64)
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
