@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.session import spread
+
 #: Most states and most cached words of a worker; beyond it they are dropped and built anew. The result does not depend on it.
 MAX_STATES = 50_000
 MAX_WORDS = 200_000
@@ -238,7 +240,7 @@ def encode_texts(df: DataFrame, text: str, out: str = "ids", path: str | None =
         own = codec(path)
         return pa.array([own.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (text, out)], encode(F.col(f"`{text}`")).alias(out))
+    return spread(df).select(*[F.col(f"`{c}`") for c in df.columns if c not in (text, out)], encode(F.col(f"`{text}`")).alias(out))
 
 
 def decode_ids(df: DataFrame, ids: str, out: str = "text", path: str | None = None) -> DataFrame:
