@@ -105,11 +105,23 @@ class LevelModel:
         self.grades, self.mean, self.spread, self.weights, self.present = grades, mean, spread, weights, present
 
     @classmethod
-    def fit(cls, docs: list[tuple[int, str, list[str]]], corpus: dict[str, int], folds: int = 4, rounds: int = 600, ridge: float = 1e-3) -> LevelModel | None:
-        """Fits on (grade, text, words). A document's features come from vocabularies of the other folds, as those of a new
-        document do. Without documents there is no model."""
-        if not docs:
-            return None
+    def fit(cls, docs: list[tuple[int, str, list[str]]], corpus: dict[str, int], passes: int = 2) -> LevelModel | None:
+        """Fits on (grade, text, words); without documents there is no model.
+
+        A few grades are wrong: documents that the first model confidently gives another grade are left out of the second.
+        """
+        model = None
+        for _ in range(passes):
+            if not docs:
+                break
+            model, chance = cls._fit_once(docs, corpus)
+            docs = [d for d, p in zip(docs, chance, strict=True) if p >= 0.2]
+        return model
+
+    @classmethod
+    def _fit_once(cls, docs: list[tuple[int, str, list[str]]], corpus: dict[str, int], folds: int = 4, rounds: int = 600, ridge: float = 1e-3) -> tuple[LevelModel, np.ndarray]:
+        """A model, and the probability that it gives each document's own grade. A document's features come from the
+        vocabularies of the other folds, as those of a new document do."""
         counts = [[Counter() for _ in GRADES] for _ in range(folds)]
         for n, (grade, _, tokens) in enumerate(docs):
             counts[n % folds][GRADES.index(grade)].update(tokens)
@@ -120,10 +132,14 @@ class LevelModel:
         z = np.hstack([(rows - mean) / spread, np.ones((len(rows), 1))])
         target = np.array([[float(grade == g) for g in GRADES] for grade, _, _ in docs])
         b = np.zeros((z.shape[1], len(GRADES)))
-        for _ in range(rounds):
+
+        def chances() -> np.ndarray:
             e = np.exp(z @ b - (z @ b).max(1, keepdims=True))
-            b -= 0.5 * (z.T @ (e / e.sum(1, keepdims=True) - target) / len(z) + ridge * b)
-        return cls([_ranks(c) for c in total], mean, spread, b, sorted({g for g, _, _ in docs}))
+            return e / e.sum(1, keepdims=True)
+
+        for _ in range(rounds):
+            b -= 0.5 * (z.T @ (chances() - target) / len(z) + ridge * b)
+        return cls([_ranks(c) for c in total], mean, spread, b, sorted({g for g, _, _ in docs})), (chances() * target).sum(1)
 
     def grade(self, columns: list[Column]) -> Column:
         """The grade of highest score, the lower of equal ones, as an expression over the features."""
