@@ -24,7 +24,7 @@ SLACK = 40
 # Boundaries, the strongest first. A boundary is the position after the match: what follows begins a new unit.
 _BOUNDARIES = [
     re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*"),  # empty line
-    re.compile(r"(?:\r\n?|\n| | )\s*"),  # line end
+    re.compile(r"(?:\r\n?|[\n\x85\u2028\u2029])\s*"),  # line end
     re.compile(r"[.!?…。][\"'»”’)\]]*\s+"),  # sentence end
     re.compile(r"[;:,][\"'»”’)\]]*\s+"),  # clause end
     re.compile(r"\s+"),  # word end
