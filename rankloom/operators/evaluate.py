@@ -20,11 +20,11 @@ def _ideal(qrels: DataFrame, depth: int = 10) -> DataFrame:
     return qrels.withColumn("place", place).groupBy("query_id").agg(F.sum(F.when(F.col("relevance") > 0, 1).otherwise(0)).alias("relevant"), F.sum(gain).alias("ideal"))
 
 
-def per_query(run: DataFrame, qrels: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+def per_query(run: DataFrame, qrels: DataFrame, keys: Sequence[str] = ("model",), lists: DataFrame | None = None) -> DataFrame:
     """(keys..., query_id and the six metrics) for every query of the judgements and every list of the run.
 
     A query that a list lacks scores 0 on all metrics; queries without judgements don't count; a query of which no document
-    is relevant scores 0. Precision divides by its depth; MAP goes over the whole list. The judgements are joined to the run
+    is relevant scores 0. ``lists`` names the lists (keys...) where the run has only the judged rows of them. Precision divides by its depth; MAP goes over the whole list. The judgements are joined to the run
     before anything else, so only hits are shuffled.
     """
     keys = list(keys)
@@ -37,7 +37,7 @@ def per_query(run: DataFrame, qrels: DataFrame, keys: Sequence[str] = ("model",)
         at(100).alias("h100"), F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"), F.sum(F.col("so_far") / F.col("rank")).alias("ap"),
         at(10).alias("h10"), at(50).alias("h50"),
     )
-    lists = run.select(*keys).distinct()
+    lists = run.select(*keys).distinct() if lists is None else lists
     base = _ideal(qrels).crossJoin(F.broadcast(lists))  # a handful of lists
     return base.join(sums, [*keys, "query_id"], "left").select(
         *keys, "query_id",
@@ -53,9 +53,9 @@ def means(scores: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count("*").alias("queries"), *(F.round(F.avg(m) + HALF, 6).alias(m) for m in METRICS))
 
 
-def evaluate(run: DataFrame, qrels: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+def evaluate(run: DataFrame, qrels: DataFrame, keys: Sequence[str] = ("model",), lists: DataFrame | None = None) -> DataFrame:
     """The six metrics of every list of the run."""
-    return means(per_query(run, qrels, keys), keys)
+    return means(per_query(run, qrels, keys, lists), keys)
 
 
 def paired_t(scores: DataFrame, metric: str, keys: str = "model") -> DataFrame:

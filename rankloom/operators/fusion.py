@@ -6,7 +6,9 @@ fixed order.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.naming import format_params
 from rankloom.operators.runs import minmax, rank_run
 from rankloom.schema import STRATEGIES, FusionStrategy
+from rankloom.session import shuffle_partitions, small_table
 
 DIGITS = 9
 
@@ -108,21 +111,92 @@ def copeland_wins(run: DataFrame) -> DataFrame:
 
 def combinations(spark: SparkSession, models: Sequence[str], smallest: int, largest: int) -> DataFrame:
     """(combo, size, model) of every choice of the models, larger choices first; few rows, made in the driver."""
-    rows = []
-    for size in range(largest, smallest - 1, -1):
-        rows += [("+".join(c), size, m) for c in itertools.combinations(models, size) for m in c]
-    return spark.createDataFrame(rows, "combo string, size int, model string")
+    rows = [("+".join(c), len(c), m) for c in choices(models, smallest, largest) for m in c]
+    return small_table(spark, rows, "combo string, size int, model string")
 
 
-def fusion_grid(run: DataFrame, combos: DataFrame, strategies: Sequence[FusionStrategy] = tuple(STRATEGIES[s] for s in ("combmnz", "rbc", "rrf", "isr"))) -> DataFrame:
-    """(combo, strategy, params, query_id, doc_id, score, rank) of every combination and additive strategy, in one job.
+#: Most judged rows, over all combinations, that are broadcast; beyond it they are joined by a shuffle.
+MAX_JUDGED = 2_000_000
+GRID = tuple(STRATEGIES[s] for s in ("combmnz", "rbc", "rrf", "isr"))
 
-    The combinations, a few rows for a handful of models, are broadcast; one shuffle fuses all strategies of a combination.
-    """
-    rows = minmax(run).join(F.broadcast(combos.select("combo", "model")), "model")
-    scores = [score_expr(s.method, s.params).alias(f"s{i}") for i, s in enumerate(strategies)]
-    wide = rows.groupBy("combo", "query_id", "doc_id").agg(*scores)
+
+def _parts(strategy: FusionStrategy, runs: int) -> Column:
+    """What each run gives a candidate under a strategy, as an array over the runs: from the arrays ``r`` (ranks, or null) and ``n``."""
+    params = strategy.params or {}
+    ranks = [F.get("r", F.lit(i)) for i in range(runs)]
+    if strategy.method == "rrf":
+        return F.array(*[1.0 / (F.lit(float(params.get("k", 60))) + r) for r in ranks])
+    if strategy.method == "rbc":
+        phi = float(params.get("phi", 0.95))
+        return F.array(*[(1.0 - phi) * F.pow(F.lit(phi), r - 1) for r in ranks])
+    if strategy.method in ("mnz", "combmnz"):
+        return F.col("n")
+    if strategy.method == "isr":
+        return F.array(*[1.0 / (r * r) for r in ranks])
+    raise ValueError(f"{strategy.method} is no sum over runs")
+
+
+def choices(models: Sequence[str], smallest: int, largest: int) -> list[tuple[str, ...]]:
+    """Every choice of the models, larger ones first."""
+    return [c for size in range(largest, smallest - 1, -1) for c in itertools.combinations(models, size)]
+
+
+def _wide(run: DataFrame, models: Sequence[str], strategies: Sequence[FusionStrategy]) -> DataFrame:
+    """(query_id, doc_id, r, p0, p1, ...): a candidate's ranks in the runs and what each gives it under each strategy, as
+    arrays over the runs. The only shuffle of the run's rows."""
+    one = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+    own = minmax(run.where(F.col("model").isin(list(models))))
+    own = own.repartition(shuffle_partitions(run.sparkSession), "query_id", "doc_id").groupBy("query_id", "doc_id")
+    arrays = own.agg(F.array(*[one(m, "rank") for m in models]).alias("r"), F.array(*[one(m, "norm") for m in models]).alias("n"))
+    return arrays.select("query_id", "doc_id", "r", *(_parts(s, len(models)).alias(f"p{i}") for i, s in enumerate(strategies)))
+
+
+def _each_choice(wide: DataFrame, models: Sequence[str], combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy]) -> DataFrame:
+    """(combo, query_id, doc_id, s0, s1, ...): a row for each combination that has the candidate. No shuffle."""
+    place = {m: i for i, m in enumerate(models)}
+    listed = F.array(*[F.struct(F.lit("+".join(c)).alias("combo"), F.array(*[F.lit(place[m]) for m in c]).alias("at")) for c in combos])
+    # Places beyond a combination's size are null; written out, not as lambdas, so that it stays compiled.
+    at = [F.get("x.at", F.lit(j)) for j in range(max(map(len, combos)))]
+    present = functools.reduce(operator.add, [F.when(F.get("r", i).isNotNull(), 1).otherwise(0) for i in at])
+    rows = wide.withColumn("x", F.explode(listed)).withColumn("has", present).where("has > 0")
+
+    def score(n: int, strategy: FusionStrategy) -> Column:
+        total = functools.reduce(operator.add, [F.coalesce(F.get(f"p{n}", i), F.lit(0.0)) for i in at])
+        return F.round(total * F.col("has") if strategy.method in ("mnz", "combmnz", "isr") else total, DIGITS)
+
+    return rows.select("x.combo", "query_id", "doc_id", *(score(n, s).alias(f"s{n}") for n, s in enumerate(strategies)))
+
+
+def fusion_grid(run: DataFrame, combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy] = GRID) -> DataFrame:
+    """(combo, strategy, params, query_id, doc_id, score, rank) of every combination and additive strategy, in one job."""
+    models = sorted({m for c in combos for m in c})
+    scored = _each_choice(_wide(run, models, strategies), models, combos, strategies)
     each = F.array(*[F.struct(F.lit(s.method).alias("strategy"), F.lit(format_params(s.params)).alias("params"), F.col(f"s{i}").alias("score")) for i, s in enumerate(strategies)])
-    melted = wide.select("combo", "query_id", "doc_id", F.explode(each).alias("x")).select("combo", "x.strategy", "x.params", "query_id", "doc_id", "x.score")
+    melted = scored.select("combo", "query_id", "doc_id", F.explode(each).alias("x")).select("combo", "x.strategy", "x.params", "query_id", "doc_id", "x.score")
     order = Window.partitionBy("combo", "strategy", "params", "query_id").orderBy(F.desc("score"), "doc_id")
     return melted.withColumn("rank", F.row_number().over(order))
+
+
+def judged_grid(run: DataFrame, qrels: DataFrame, combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy] = GRID) -> DataFrame:
+    """The rows of ``fusion_grid`` that are judged relevant, (combo, strategy, params, query_id, doc_id, rank): all that metrics need.
+
+    A judged document's rank is one more than the number of candidates that are above it, which is counted; no list is
+    sorted. Judged rows, a few for each query, are broadcast if they are at most ``MAX_JUDGED``.
+    """
+    models = sorted({m for c in combos for m in c})
+    relevant = qrels.where("relevance > 0").select("query_id", "doc_id").distinct()
+    wide = _wide(run.join(relevant.select("query_id"), "query_id", "left_semi"), models, strategies)
+    everyone = _each_choice(wide, models, combos, strategies)
+    own = _each_choice(wide.join(relevant, ["query_id", "doc_id"]), models, combos, strategies)
+    own = own.select("combo", "query_id", F.col("doc_id").alias("judged"), *(F.col(f"s{i}").alias(f"j{i}") for i in range(len(strategies))))
+    if relevant.count() * len(combos) <= MAX_JUDGED:
+        own = F.broadcast(own)
+    above = lambda i: (F.col(f"s{i}") > F.col(f"j{i}")) | ((F.col(f"s{i}") == F.col(f"j{i}")) & (F.col("doc_id") < F.col("judged")))
+    ranks = everyone.join(own, ["combo", "query_id"]).groupBy("combo", "query_id", "judged").agg(*((F.count_if(above(i)) + 1).cast("int").alias(f"k{i}") for i in range(len(strategies))))
+    each = F.array(*[F.struct(F.lit(s.method).alias("strategy"), F.lit(format_params(s.params)).alias("params"), F.col(f"k{i}").alias("rank")) for i, s in enumerate(strategies)])
+    return ranks.select("combo", "query_id", F.col("judged").alias("doc_id"), F.explode(each).alias("x")).select("combo", "x.strategy", "x.params", "query_id", "doc_id", "x.rank")
+
+
+def grid_lists(spark: SparkSession, combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy] = GRID) -> DataFrame:
+    """(combo, strategy, params): the lists of a grid; few rows."""
+    return small_table(spark, [("+".join(c), s.method, format_params(s.params)) for c in combos for s in strategies], "combo string, strategy string, params string")

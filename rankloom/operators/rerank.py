@@ -6,6 +6,8 @@ skipped; a document without a text is scored with the empty one.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -37,6 +39,16 @@ def pending(run: DataFrame, done: DataFrame) -> DataFrame:
     return run.join(done.select("query_id").distinct(), "query_id", "left_anti")
 
 
+def overlap(run: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pointwise`` by the words in common, over the run and both texts: each text is cut into words once, before the joins."""
+    asked = queries.where("text IS NOT NULL").select("query_id", F.array_distinct(tokens(F.col("text"))).alias("asked"))
+    words = docs.select("doc_id", F.array_distinct(tokens(F.col("full_text"))).alias("words"))
+    pairs = run.select("query_id", "doc_id").join(asked, "query_id").join(words, "doc_id", "left")
+    found = F.coalesce(F.size(F.array_intersect("asked", "words")), F.lit(0))
+    score = F.round(F.coalesce(F.try_divide(F.greatest(found, F.lit(0)), F.size("asked")), F.lit(0.0)), DIGITS)
+    return rank_run(pairs.select("query_id", "doc_id", score.alias("score")), None, ("query_id",))
+
+
 def overlap_score(query: Column, doc: Column) -> Column:
     """Share of the query's different words that the document has; 0 for a query without words. The scorer without a model."""
     asked = F.array_distinct(tokens(query))
@@ -56,13 +68,15 @@ def pointwise(pairs: DataFrame, scorer: PointScorer | None = None) -> DataFrame:
     return rank_run(pairs.select("query_id", "doc_id", score.alias("score")), None, ("query_id",))
 
 
+@functools.lru_cache(maxsize=10_000)
+def _words(text: str) -> frozenset[str]:
+    return frozenset(re.findall(r"[^\W_]+", text.lower()))
+
+
 def centred_overlap(query: str, docs: list[str]) -> list[float]:
     """A list scorer without a model: the words in common, less the mean of the list."""
-    import re
-
-    cut = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
-    asked = cut(query)
-    own = [len(asked & cut(d)) / len(asked) if asked else 0.0 for d in docs]
+    asked = _words(query)
+    own = [len(asked & _words(d)) / len(asked) if asked else 0.0 for d in docs]
     mean = sum(own) / len(own)
     return [x - mean for x in own]
 

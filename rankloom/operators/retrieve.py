@@ -6,17 +6,18 @@ each block only: no row is written for a pair of a query and a document, and no
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import analyze_es, tokens
 from rankloom.functions.vector import sound
 from rankloom.operators.runs import TOP_K, rank_run
+from rankloom.session import cut_lineage, shuffle_partitions
 
 DIGITS = 6
 #: Most documents and queries of a block.
@@ -51,6 +52,13 @@ def _blocks(key: str, rows: int, block: int, cores: int = 1) -> tuple[Column, in
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), n
 
 
+def _cogrouped(left: DataFrame, right: DataFrame, blocks: int, score: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """Scores each pair of blocks in a task of its own, as far as hashing has it."""
+    n = max(blocks, shuffle_partitions(left.sparkSession))
+    left, right = left.repartition(n, "d", "q"), right.repartition(n, "d", "q")
+    return left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInArrow(score, _PAIRS_DDL)
+
+
 def _every(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
@@ -85,7 +93,7 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, block: int =
     q_block, q_n = _blocks("id", queries.count(), block, -(-cores // d_n))
     left = docs.withColumn("d", d_block).withColumn("q", _every(q_n))
     right = queries.withColumn("q", q_block).withColumn("d", _every(d_n))
-    local = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInArrow(_dense_block(k), _PAIRS_DDL)
+    local = _cogrouped(left, right, d_n * q_n, _dense_block(k))
     best = local.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return rank_run(best, k, ("query_id",))
 
@@ -140,7 +148,7 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, positive: b
     a null don't count. Scores are rounded to 6 digits, ties go to the smaller id.
     """
     add = lambda df: df.select(F.col("id").cast("string").alias("id"), "term", F.col("weight").cast("double").alias("weight")).dropna().groupBy("id", "term").agg(F.sum("weight").alias("weight"))
-    queries = add(queries)
+    queries = cut_lineage(add(queries))
     docs = add(docs.join(queries.select("term").distinct(), "term", "left_semi"))
     cores = docs.sparkSession.sparkContext.defaultParallelism
     ids = lambda df: df.agg(F.approx_count_distinct("id")).first()[0]
@@ -148,7 +156,7 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, positive: b
     q_block, q_n = _blocks("id", ids(queries), block, -(-cores // d_n))
     left = docs.withColumn("d", d_block).withColumn("q", _every(q_n))
     right = queries.withColumn("q", q_block).withColumn("d", _every(d_n))
-    local = left.groupBy("d", "q").cogroup(right.groupBy("d", "q")).applyInArrow(_sparse_block(k, positive), _PAIRS_DDL)
+    local = _cogrouped(left, right, d_n * q_n, _sparse_block(k, positive))
     return rank_run(local, k, ("query_id",))
 
 
@@ -164,6 +172,12 @@ def postings(docs: DataFrame, key: str, text: str, language: str | None = None)
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def index_with_lengths(docs: DataFrame, key: str, text: str, language: str | None = None) -> DataFrame:
+    """(id, term, tf, dl): the inverted index with each document's length. Spread by document, so that one shuffle serves both."""
+    index = postings(docs.select(key, text).repartition(shuffle_partitions(docs.sparkSession), key), key, text, language)
+    return index.withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
+
+
 def doc_stats(docs: DataFrame, key: str, text: str, language: str | None = None) -> DataFrame:
     """(id, dl): terms of each document, of empty ones too."""
     sized = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.size(analyzed(F.col(text), language)).alias("dl"))
@@ -181,23 +195,33 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, query_key: str = "query_id",
     The idf is put on the few terms of the queries and the saturated frequency on the documents' terms, so that the index is
     never joined with its own term statistics. Queries without terms have no rows.
     """
-    index, sizes = postings(docs, doc_key, doc_text, language), doc_stats(docs, doc_key, doc_text, language)
-    total = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = total["n"], total["avgdl"] or 1.0
-    asked = postings(queries, query_key, query_text, language)
-    index = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    index, n, asked = _indexed(queries, docs, query_key, doc_key, query_text, doc_text, language)
+    avgdl = (index.agg(F.sum("tf")).first()[0] or 0) / n if n else 1.0
+    saturated = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.lit(avgdl or 1.0)))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted_queries = asked.join(df, "term").select("id", "term", (F.col("tf") * idf).alias("weight"))
-    saturated = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
-    weighted_docs = index.join(sizes, "id").select("id", "term", saturated.alias("weight"))
-    return sparse_topk(weighted_queries, weighted_docs, k, block=block, doc_count=n)
+    return _search(asked, index, n, F.col("tf") * idf, saturated, k, block)
 
 
-def learned_weights(index: DataFrame, documents: int) -> DataFrame:
-    """(id, term, weight): ln(1 + tf) times idf, the stand-in for a learned-sparse encoder."""
+def learned_sparse_topk(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", query_text: str = "text", doc_text: str = "text", k: int = TOP_K, language: str | None = "es", block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank) by the stand-in for a learned-sparse encoder: weights ln(1 + tf) on both sides, and
+    ln(1 + N / df) once."""
+    index, n, asked = _indexed(queries, docs, query_key, doc_key, query_text, doc_text, language)
+    return _search(asked, index, n, F.log1p("tf") * F.log(1 + F.lit(n) / F.col("df")), F.log1p("tf"), k, block)
+
+
+def _indexed(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, query_text: str, doc_text: str, language: str | None) -> tuple[DataFrame, int, DataFrame]:
+    """The index, written once as totals, document frequencies and the search read it; the number of documents; the queries' terms."""
+    index = cut_lineage(index_with_lengths(docs, doc_key, doc_text, language))
+    n = docs.where(F.col(doc_key).isNotNull()).select(doc_key).distinct().count()
+    return index, n, postings(queries, query_key, query_text, language)
+
+
+def _search(asked: DataFrame, index: DataFrame, n: int, query_weight: Column, doc_weight: Column, k: int, block: int) -> DataFrame:
+    """Weights of query terms are an expression over ``tf`` and ``df``, those of documents over ``tf`` and ``dl``."""
+    index = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    return index.join(df, "term").select("id", "term", (F.log1p("tf") * F.log(1 + F.lit(documents) / F.col("df"))).alias("weight"))
+    weighted = asked.join(df, "term").select("id", "term", query_weight.alias("weight"))
+    return sparse_topk(weighted, index.select("id", "term", doc_weight.alias("weight")), k, block=block, doc_count=n)
 
 
 def csr_rows(sparse: DataFrame) -> DataFrame:

@@ -117,6 +117,7 @@ def oracle_sql() -> dict[str, str]:
         ("wide", "SELECT combo, query_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS rrf, round(sum(0.05::DOUBLE * pow(0.95::DOUBLE, rank - 1)), 9) AS rbc, round(count(*) * sum(1::DOUBLE / (rank * rank)), 9) AS isr, round(count(*) * sum(norm), 9) AS mnz FROM normed JOIN c USING (model) GROUP BY ALL"),
         ("melted", f"SELECT *, row_number() OVER (PARTITION BY combo, strategy, params, query_id ORDER BY score DESC, doc_id) AS rank FROM ({grid_scores})"),
     ]
+    pairs_and_triples = "SELECT combo, unnest(l) AS model FROM (SELECT a.model || '+' || b.model || '+' || c.model AS combo, [a.model, b.model, c.model] AS l FROM m a, m b, m c WHERE a.model < b.model AND b.model < c.model UNION ALL SELECT a.model || '+' || b.model, [a.model, b.model] FROM m a, m b WHERE a.model < b.model)"
     sweep = " UNION ALL ".join(f"SELECT {p}::DOUBLE AS phi, query_id, doc_id, round(sum((1 - {p}::DOUBLE) * pow({p}::DOUBLE, rank - 1)), 9) AS score FROM run GROUP BY query_id, doc_id" for p in (0.8, 0.9, 0.95, 0.98))
     borda = [
         ("len", "SELECT model, query_id, count(*) AS n FROM run GROUP BY ALL"), ("cand", "SELECT DISTINCT query_id, doc_id FROM run"), ("c", "SELECT query_id, count(*) AS c FROM cand GROUP BY ALL"),
@@ -152,6 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "fuse_all": _with(["fused"], "SELECT * FROM fused"),
         "fuse_rbc_phi_sweep": _with(["run", "qr"], f"SELECT phi, {_MEANS} FROM scores GROUP BY phi", _per_query(f"SELECT phi, query_id, doc_id, rank FROM ({_ranked(sweep, 'phi, query_id')})", "phi", "qr")),
         "fuse_grid_metrics": _with(["normed", "qr"], f"SELECT combo, strategy, params, {_MEANS} FROM scores GROUP BY ALL", [*grid, *_per_query("SELECT combo, strategy, params, query_id, doc_id, rank FROM melted", "combo, strategy, params", "qr")]),
+        "fuse_grid": _with(["normed"], "SELECT combo, strategy, params, query_id, doc_id, score, CAST(rank AS INT) AS rank FROM melted", [("m", "SELECT DISTINCT model FROM retrieval_run WHERE model IS NOT NULL ORDER BY model LIMIT 3"), ("c", pairs_and_triples), *grid[2:]]),
         "fuse_combinations": "WITH m AS (SELECT DISTINCT model FROM retrieval_run WHERE model IS NOT NULL) SELECT combo, size, unnest(l) AS model FROM (SELECT a.model || '+' || b.model || '+' || c.model AS combo, 3::INT AS size, [a.model, b.model, c.model] AS l FROM m a, m b, m c WHERE a.model < b.model AND b.model < c.model UNION ALL SELECT a.model || '+' || b.model, 2::INT, [a.model, b.model] FROM m a, m b WHERE a.model < b.model)",
         "corpus_format_count": _with(["counted"], "SELECT docid, full_text, word_count FROM counted"),
         "corpus_wordcount_filter": _with(["counted"], "SELECT docid, word_count FROM counted WHERE word_count <= 400"),

@@ -134,11 +134,7 @@ def bm25_topk_es(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = corpus.doc_lookup(_corpus(spark, d))
-    count = docs.count()
-    asked, index = retrieve.postings(_queries(spark, d), "query_id", "text", "es"), retrieve.postings(docs, "doc_id", "full_text", "es")
-    weights = asked.select("id", "term", F.log1p("tf").alias("weight"))
-    return retrieve.sparse_topk(weights, retrieve.learned_weights(index, count))
+    return retrieve.learned_sparse_topk(_queries(spark, d), corpus.doc_lookup(_corpus(spark, d)), doc_text="full_text")
 
 
 # --- runs and fusion
@@ -171,8 +167,12 @@ def fuse_rbc_phi_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuse_grid_metrics(spark: SparkSession, d: str) -> DataFrame:
-    combos = fusion.combinations(spark, _models(spark, d), 3, 3)
-    return evaluate.evaluate(fusion.fusion_grid(_run(spark, d), combos), _qrels(spark, d), ("combo", "strategy", "params"))
+    combos, judged = fusion.choices(_models(spark, d), 3, 3), _qrels(spark, d)
+    return evaluate.evaluate(fusion.judged_grid(_run(spark, d), judged, combos), judged, ("combo", "strategy", "params"), fusion.grid_lists(spark, combos))
+
+
+def fuse_grid(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.fusion_grid(_run(spark, d), fusion.choices(_models(spark, d)[:3], 2, 3))
 
 
 def fuse_combinations(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +240,7 @@ def rerank_pending(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_pointwise(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.pointwise(_pairs(spark, d))
+    return rerank.overlap(_run(spark, d).where("model = 'lexico'"), _queries(spark, d), corpus.doc_lookup(_corpus(spark, d)))
 
 
 def rerank_listwise(spark: SparkSession, d: str) -> DataFrame:
@@ -317,7 +317,7 @@ def qrels_nested(spark: SparkSession, d: str) -> DataFrame:
 _PLAIN = [
     corpus_format_count, corpus_wordcount_filter, corpus_kept_report, corpus_lookup, corpus_snippets, qrels_build, qrels_test_rows, qrels_graded, qrels_prune, qrels_prune_report,
     query_map_prune, query_map_last, dense_topk, bm25_term_stats, bm25_doc_stats, bm25_stems_es, bm25_topk, bm25_topk_es, sparse_topk, run_rank, run_minmax_norm, run_candidates, fuse_all,
-    fuse_rbc_phi_sweep, fuse_grid_metrics, fuse_combinations, eval_per_query, eval_run, eval_fused, eval_graded_ndcg, eval_paired_t, results_table, encode_plan, encode_hashing,
+    fuse_rbc_phi_sweep, fuse_grid_metrics, fuse_grid, fuse_combinations, eval_per_query, eval_run, eval_fused, eval_graded_ndcg, eval_paired_t, results_table, encode_plan, encode_hashing,
     encode_prompts, rerank_candidates, rerank_pending, rerank_pointwise, rerank_listwise, maxsim_topk, hybrid_fuse_rerank, judgements_per_query_hist, judgements_summary,
     length_summary_stats, length_hist_unit, length_hist_log, show_query, random_query, model_slug_cache_key, fusion_strategies, embeddings_by_chunk, corpus_fingerprint, qrels_nested,
 ]

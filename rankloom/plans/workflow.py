@@ -65,9 +65,9 @@ def dense_baseline(spark: SparkSession, data: Dataset, spec: encode.EncoderSpec,
 
 def fuse_and_evaluate(run: DataFrame, judgements: DataFrame, models: Sequence[str], strategies: Sequence[FusionStrategy], smallest: int = 3, largest: int = 3) -> DataFrame:
     """Metrics of every combination of the models and every additive strategy, as one job."""
-    combos = fusion.combinations(run.sparkSession, models, smallest, largest)
-    grid = fusion.fusion_grid(run, combos, strategies)
-    return evaluate.evaluate(grid, judgements, ("combo", "strategy", "params"))
+    combos = fusion.choices(models, smallest, largest)
+    lists = fusion.grid_lists(run.sparkSession, combos, strategies)
+    return evaluate.evaluate(fusion.judged_grid(run, judgements, combos, strategies), judgements, ("combo", "strategy", "params"), lists)
 
 
 def rerank_stored(spark: SparkSession, path: str, run: DataFrame, queries: DataFrame, docs: DataFrame, scorer: rerank.ListScorer = rerank.centred_overlap, shards: int = 4) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +73,19 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a DataFrame, handed over as Arrow, without a Python task."""
+    fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    columns = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
+    return spark.createDataFrame(pa.table(columns, names=[name for name, _ in fields]))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle whose rows are few but costly, and which adaptive coalescing should therefore leave alone."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that outweighs moving the rows.
 
