@@ -53,11 +53,15 @@ FEATURES = [
 ]
 
 
-def _delimiters(line: str) -> tuple[int, ...]:
+def _delimiters(line: str, pieces: int) -> tuple[int, ...]:
+    """How often a line of so many pieces has each delimiter: | ; tab "," || wide gap = and comma."""
     commas = line.count(",")
     if not _DELIMITER.search(line):
         return 0, 0, 0, 0, 0, 0, 0, commas
-    return line.count("|"), line.count(";"), line.count("\t"), line.count('","'), line.count("||"), len(_GAPS.findall(line)), line.count("="), commas
+    tabs, gaps = line.count("\t"), len(_GAPS.findall(line))
+    if pieces >= 12 and max(tabs, gaps) >= 0.6 * (pieces - 1):
+        tabs = gaps = 0  # a text whose spaces are tabs or doubled, and no row of cells
+    return line.count("|"), line.count(";"), tabs, line.count('","'), line.count("||"), gaps, line.count("="), commas
 
 
 def _aligned(shapes: list[tuple[int, ...]], owner: list[int]) -> list[bool]:
@@ -72,16 +76,29 @@ def _aligned(shapes: list[tuple[int, ...]], owner: list[int]) -> list[bool]:
     return out
 
 
-def _repeats(tokens: list[str], owner: np.ndarray, n: int = 10, times: int = 3) -> np.ndarray:
-    """Words within a run of ``n`` words that their text has at least ``times`` times."""
+def _repeats(tokens: list[str], owner: np.ndarray, n: int = 10) -> np.ndarray:
+    """Words of passages that their text says three times or more on end.
+
+    The sentences of a small repertoire that come back now and then are no such passage: the copies must follow each other.
+    """
     out = np.zeros(len(tokens), bool)
-    if len(tokens) < n + times - 1:
+    if len(tokens) < n + 2:
         return out
     runs = gram_hashes(np.array([hash(t) for t in tokens], np.int64).view(np.uint64), n)
     at = np.flatnonzero(owner[: len(runs)] == owner[n - 1 :])
-    _, which, count = np.unique(runs[at] ^ (owner[at].astype(np.uint64) << np.uint64(40)), return_inverse=True, return_counts=True)
-    for i in at[count[which] >= times].tolist():
-        out[i : i + n] = True
+    _, which = np.unique(runs[at] ^ (owner[at].astype(np.uint64) << np.uint64(40)), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    same = which[order][1:] == which[order][:-1]
+    gap = np.zeros(len(runs) + 1, np.int64)  # to the next place of the same run of words; 0 without one
+    gap[at[order][:-1][same]] = np.diff(at[order])[same]
+    place = np.arange(len(gap))
+    thrice = (gap > 0) & (gap[np.minimum(place + gap, len(gap) - 1)] == gap)
+    starts = np.flatnonzero(thrice & ~np.concatenate([[False], thrice[:-1] & (gap[1:] == gap[:-1])]))
+    stops = np.flatnonzero(thrice & ~np.concatenate([thrice[1:] & (gap[1:] == gap[:-1]), [False]])) + 1
+    for i, j in zip(starts.tolist(), stops.tolist(), strict=True):
+        period = int(gap[i])
+        if j - i >= period - n + 1:
+            out[i : j - 1 + 2 * period + n] = True
     return out
 
 
@@ -142,7 +159,7 @@ class Shape:
         self.pieces = [line.split() for line in self.lines]
         self.bullet = [_BULLET.match(line) is not None for line in self.lines]
         self.ended = [_END.search(line) is not None for line in self.lines]
-        self.shapes = [_delimiters(line) for line in self.lines]
+        self.shapes = [_delimiters(line, len(own)) for line, own in zip(self.lines, self.pieces, strict=True)]
         self.aligned = _aligned(self.shapes, self.text_of_line)
         self.flat = [p for own in self.pieces for p in own]
         self.words = len(self.flat)
