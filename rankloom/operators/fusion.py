@@ -24,6 +24,11 @@ from rankloom.session import shuffle_partitions, small_table
 DIGITS = 9
 
 
+def _square(rank: Column) -> Column:
+    """As a double, since the square of a rank beyond 46,340 is no int."""
+    return rank.cast("double") * rank
+
+
 def score_expr(method: str, params: dict[str, float] | None = None) -> Column:
     """Aggregate of one candidate's rows (``rank``, ``norm``) over the runs that have it."""
     params = params or {}
@@ -36,7 +41,7 @@ def score_expr(method: str, params: dict[str, float] | None = None) -> Column:
     elif method in ("mnz", "combmnz"):
         score = F.count(F.lit(1)) * F.sum("norm")
     elif method == "isr":
-        score = F.count(F.lit(1)) * F.sum(1.0 / (rank * rank))
+        score = F.count(F.lit(1)) * F.sum(1.0 / _square(rank))
     else:
         raise ValueError(f"no aggregate for {method}")
     return F.round(score, DIGITS)
@@ -88,25 +93,51 @@ def borda_scores(run: DataFrame) -> DataFrame:
 _WINS = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())])
 
 
-def _wins_of_query(rows: pa.Table) -> pa.Table:
+#: Queries with a longer list are compared in blocks of about so many documents, and of these so many rows at once.
+CONDORCET_BLOCK, CONDORCET_ROWS = 8192, 256
+
+
+def _wins_of_blocks(rows: pa.Table) -> pa.Table:
+    """Wins of each document of two blocks against those of the other block; within the block, if they are the same."""
     models, docs = rows["model"].combine_chunks().dictionary_encode(), rows["doc_id"].combine_chunks().dictionary_encode()
-    m, d = len(models.dictionary), len(docs.dictionary)
+    m, d, at = len(models.dictionary), len(docs.dictionary), docs.indices.to_numpy()
     rank = np.full((m, d), np.iinfo(np.int32).max, np.int32)
-    rank[models.indices.to_numpy(), docs.indices.to_numpy()] = rows["rank"].to_numpy()
-    votes = np.zeros((d, d), np.int16)
-    for own in rank:
-        votes += np.sign(own[None, :] - own[:, None]).astype(np.int16)  # > 0 where the row's document is above the column's
-    wins = (votes > 0).sum(1).astype(float)
+    rank[models.indices.to_numpy(), at] = rows["rank"].to_numpy()
+    block = np.zeros(d, np.int32)
+    block[at] = rows["own"].to_numpy()
+    first, second = rows["first"][0].as_py(), rows["second"][0].as_py()
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    wins, others = np.zeros(d), rank[:, right]
+    for start in range(0, len(left), CONDORCET_ROWS):
+        part = left[start : start + CONDORCET_ROWS]
+        votes = np.zeros((len(part), len(right)), np.int16)
+        for a, b in zip(rank[:, part], others, strict=True):
+            votes += np.less(a[:, None], b[None, :]).view(np.int8)  # > 0 where the row's document is above the column's
+            votes -= np.greater(a[:, None], b[None, :]).view(np.int8)
+        wins[part] += (votes > 0).sum(1)
+        if first != second:
+            wins[right] += (votes < 0).sum(0)
     return pa.table([pa.array([rows["query_id"][0].as_py()] * d, pa.string()), docs.dictionary.cast(pa.string()), pa.array(wins)], schema=_WINS)
 
 
-def copeland_wins(run: DataFrame) -> DataFrame:
+def copeland_wins(run: DataFrame, block: int = CONDORCET_BLOCK) -> DataFrame:
     """(query_id, doc_id, score): how many candidates a document beats in a majority of the runs' votes.
 
     An unranked document is below a ranked one; two unranked ones have no vote. The count is a total order for Condorcet's
-    relation with ties by document id. One query is compared at a time: at most 100 documents for each run, as runs have.
+    relation with ties by document id. A query whose longest list has more than ``block`` documents is compared in pairs of
+    blocks, each pair by itself, so that it is spread over tasks; there are fewer such queries than rows / ``block``, and
+    these are broadcast.
     """
-    return run.select("model", "query_id", "doc_id", "rank").groupBy("query_id").applyInArrow(_wins_of_query, "query_id string, doc_id string, score double")
+    run = run.where("query_id IS NOT NULL")  # as the join infers for its other side, so that both read one shuffle
+    long = run.groupBy("query_id").agg(F.max("rank").alias("longest")).where(F.col("longest") > block)
+    blocks = F.broadcast(long.select("query_id", F.ceil(F.col("longest") / block).cast("int").alias("blocks")))
+    placed = run.join(blocks, "query_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    paired = placed.select("query_id", "doc_id", "model", "rank", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = paired.select("query_id", "doc_id", "model", "rank", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    wins = keyed.groupBy("query_id", "first", "second").applyInArrow(_wins_of_blocks, "query_id string, doc_id string, score double")
+    # By query, as the ranking needs it; else the sum would be one shuffle more.
+    return wins.repartition("query_id").groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
 def combinations(spark: SparkSession, models: Sequence[str], smallest: int, largest: int) -> DataFrame:
@@ -132,7 +163,7 @@ def _parts(strategy: FusionStrategy, runs: int) -> Column:
     if strategy.method in ("mnz", "combmnz"):
         return F.col("n")
     if strategy.method == "isr":
-        return F.array(*[1.0 / (r * r) for r in ranks])
+        return F.array(*[1.0 / _square(r) for r in ranks])
     raise ValueError(f"{strategy.method} is no sum over runs")
 
 

@@ -87,7 +87,7 @@ _SCORED = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score
 def listwise(pairs: DataFrame, scorer: ListScorer = centred_overlap) -> DataFrame:
     """(query_id, doc_id, score, rank): all candidates of a query scored in one call, in the order of their ranks.
 
-    A task holds one query's candidates, some hundreds at most, as runs and fused runs have.
+    A task holds one query's candidates with their texts, all that its run has.
     """
 
     def score(rows: pa.Table) -> pa.Table:

@@ -28,8 +28,8 @@ def rank_run(df: DataFrame, k: int | None = TOP_K, keys: tuple[str, ...] = ("mod
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def prepare_run(df: DataFrame, k: int = TOP_K) -> DataFrame:
-    """A stored run as retrieval leaves it: clean, ranked, at most ``k`` documents for a query."""
+def prepare_run(df: DataFrame, k: int | None = None) -> DataFrame:
+    """A stored run, clean and ranked: all its documents, or with ``k`` the first ``k`` for a query."""
     return rank_run(clean_run(df), k)
 
 
@@ -42,6 +42,6 @@ def minmax(run: DataFrame) -> DataFrame:
 
 def run_maps(run: DataFrame) -> DataFrame:
     """(model, query_id, docs): a run's documents by rank as a list of (doc_id, score): the work item of rerankers.
-    A prepared run has at most 100."""
+    A row holds all documents of its query."""
     listed = F.sort_array(F.collect_list(F.struct("rank", "doc_id", "score")))
     return run.groupBy("model", "query_id").agg(F.transform(listed, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["score"].alias("score"))).alias("docs"))
