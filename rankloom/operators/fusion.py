@@ -172,12 +172,12 @@ def choices(models: Sequence[str], smallest: int, largest: int) -> list[tuple[st
     return [c for size in range(largest, smallest - 1, -1) for c in itertools.combinations(models, size)]
 
 
-def _wide(run: DataFrame, models: Sequence[str], strategies: Sequence[FusionStrategy]) -> DataFrame:
+def _wide(run: DataFrame, models: Sequence[str], strategies: Sequence[FusionStrategy], by: Sequence[str] = ("query_id", "doc_id"), times: int = 1) -> DataFrame:
     """(query_id, doc_id, r, p0, p1, ...): a candidate's ranks in the runs and what each gives it under each strategy, as
-    arrays over the runs. The only shuffle of the run's rows."""
+    arrays over the runs. The only shuffle of the run's rows, ``by`` these columns, into ``times`` as many partitions as usual."""
     one = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
     own = minmax(run.where(F.col("model").isin(list(models))))
-    own = own.repartition(shuffle_partitions(run.sparkSession), "query_id", "doc_id").groupBy("query_id", "doc_id")
+    own = own.repartition(times * shuffle_partitions(run.sparkSession), *by).groupBy("query_id", "doc_id")
     arrays = own.agg(F.array(*[one(m, "rank") for m in models]).alias("r"), F.array(*[one(m, "norm") for m in models]).alias("n"))
     return arrays.select("query_id", "doc_id", "r", *(_parts(s, len(models)).alias(f"p{i}") for i, s in enumerate(strategies)))
 
@@ -199,9 +199,13 @@ def _each_choice(wide: DataFrame, models: Sequence[str], combos: Sequence[tuple[
 
 
 def fusion_grid(run: DataFrame, combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy] = GRID) -> DataFrame:
-    """(combo, strategy, params, query_id, doc_id, score, rank) of every combination and additive strategy, in one job."""
+    """(combo, strategy, params, query_id, doc_id, score, rank) of every combination and additive strategy, in one job.
+
+    The run's rows are shuffled by query, before they are multiplied by the combinations: ranking needs no shuffle of the
+    grid, and there are as many more tasks as combinations, so that each sorts no more rows.
+    """
     models = sorted({m for c in combos for m in c})
-    scored = _each_choice(_wide(run, models, strategies), models, combos, strategies)
+    scored = _each_choice(_wide(run, models, strategies, ("query_id",), len(combos)), models, combos, strategies)
     each = F.array(*[F.struct(F.lit(s.method).alias("strategy"), F.lit(format_params(s.params)).alias("params"), F.col(f"s{i}").alias("score")) for i, s in enumerate(strategies)])
     melted = scored.select("combo", "query_id", "doc_id", F.explode(each).alias("x")).select("combo", "x.strategy", "x.params", "query_id", "doc_id", "x.score")
     order = Window.partitionBy("combo", "strategy", "params", "query_id").orderBy(F.desc("score"), "doc_id")

@@ -172,7 +172,7 @@ def fuse_grid_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuse_grid(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fusion_grid(_run(spark, d), fusion.choices(_models(spark, d)[:3], 2, 3))
+    return fusion.fusion_grid(_run(spark, d), fusion.choices(_models(spark, d), 2, 3))
 
 
 def fuse_combinations(spark: SparkSession, d: str) -> DataFrame:
