@@ -1,7 +1,7 @@
 """Per-document text quality statistics, and which texts are no natural prose.
 
 Method: tables and lists show in the shape of the text: delimiters that stand in line from one line to the next, a periodic
-indentation, lengths of lines that follow one another. Together with word, symbol, punctuation and repetition ratios they
+indentation, a period of the lengths of lines. The first is told of a stretch, the periods of its whole text. Together with word, symbol, punctuation and repetition ratios they
 describe each stretch of a text; a logistic model, fitted on a bounded sample of labelled documents, tells how much of the
 text is prose.
 """
@@ -50,6 +50,7 @@ _DELIMITER = re.compile(r"[|;\t\"=]|  ")
 FEATURES = [
     "function_share", "function_kinds", "digit_share", "odd_share", "word_length", "words_per_line", "lines_ended", "bullets", "aligned",
     "short_lines", "capital_share", "repeated", "vowel_share", "hard_words", "inner_signs", "long_pieces", "sentence_ends", "broken", "letters_share", "gap_lines",
+    "indent_period", "length_period",
 ]
 
 
@@ -111,6 +112,11 @@ def _autocorrelation(values: list[int], lag: int) -> float:
     return float((x[lag:] * x[:-lag]).sum() / power) if power else 1.0
 
 
+def _period(values: list[int]) -> float:
+    """The greatest autocorrelation over a lag of one to four lines."""
+    return max(_autocorrelation(values, lag) for lag in (1, 2, 3, 4))
+
+
 # Bits of a character's class.
 _LETTER, _DIGITS, _VOWELS, _UPPER, _STRANGE, _BROKE = 1, 2, 4, 8, 16, 32
 
@@ -179,6 +185,16 @@ class Shape:
         """Characters before the text of each line."""
         return [len(line) - len(line.lstrip()) for line in self.lines]
 
+    def periods(self) -> np.ndarray:
+        """For each text the periods of its indentation (0 if no line is indented) and of its line lengths."""
+        count = self.text_of_line[-1] + 1 if self.text_of_line else 0
+        bounds = np.searchsorted(self.text_of_line, np.arange(count + 1)).tolist()
+        indents, out = self.indents, np.zeros((count, 2))
+        for n, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if b - a > 2:
+                out[n] = max(0.0, _period(indents[a:b])) if any(indents[a:b]) else 0.0, max(0.0, _period([len(x) for x in self.lines[a:b]]))
+        return out
+
     def stretches(self, size: int = STRETCH) -> tuple[list[int], list[list[int]]]:
         """Consecutive stretches of about ``size`` pieces, long lines being cut: where each begins, with the end of the last,
         and the lines of each."""
@@ -237,6 +253,7 @@ class Shape:
         for n, _ in {(n, self.found[w]) for n, w in zip(owner.tolist(), function.tolist(), strict=True)}:
             kinds[n] += 1
         lines = np.array([len(r) for r in rows])
+        texts = np.array([self.text_of_line[r[0]] for r in rows])
         share = lambda flags: np.array([sum(flags[i] for i in r) for r in rows]) / lines
         short = [len(own) <= 5 and not end for own, end in zip(self.pieces, self.ended, strict=True)]
         out = np.column_stack([
@@ -244,9 +261,9 @@ class Shape:
             np.log1p(pieces / lines), share(self.ended), share(self.bullet), share(self.aligned), share(short),
             within((self.classes[self.starts] & _UPPER) > 0) / found, by_piece(self.repeated) / pieces, vowels / np.maximum(1, letters), within(hard) / found,
             inner / pieces, by_piece(self.sizes > 25) / pieces + solid / pieces / 50, by_piece(ended) / pieces, count(_BROKE) / pieces, letters / solid,
-            share([s[5] > 0 for s in self.shapes]),
+            share([s[5] > 0 for s in self.shapes]), self.periods()[texts],
         ])
-        return out, solid.astype(float), np.array([self.text_of_line[r[0]] for r in rows])
+        return out, solid.astype(float), texts
 
 
 def stretch_features(texts: list[str], chars: int = 400_000) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -366,7 +383,7 @@ def text_shape(text: str | None, model: ProseModel | None = None) -> dict[str, f
         "common_word_share": float(shape.function.sum()) / n,
         "bullet_line_share": sum(shape.bullet) / rows,
         "delimiter_alignment": sum(shape.aligned) / rows,
-        "indent_period": max((_autocorrelation(shape.indents, lag) for lag in (1, 2, 3, 4)), default=0.0) if any(shape.indents) else 0.0,
+        "indent_period": _period(shape.indents) if any(shape.indents) else 0.0,
         "length_autocorrelation": _autocorrelation(lengths, 1),
         "repeated_share": float(shape.repeated.mean()) if shape.words else 0.0,
         "other_share": other_share(text, model) if model else None,
