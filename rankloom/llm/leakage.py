@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.words import gram_hashes, word_hashes, words
-from rankloom.session import spread
+from rankloom.session import cut_lineage, spread
 
 K = 5
 WINDOW = 2
@@ -109,20 +109,25 @@ def segments(item: list, text: list, hits: list[tuple[int, int]], k: int = K) ->
 
 
 class Items:
-    """The distinct wordings of the test items, with the ids that have them and their stock words."""
+    """The distinct wordings of the test items, with the ids that have them and their stock words.
 
-    def __init__(self, rows: list[tuple[int, str | None]], k: int = K, window: int = WINDOW) -> None:
+    A text may be given as its words. ``common`` words and the hashes of ``stock`` runs are counted among the rows, unless they are given for a part of all items.
+    """
+
+    def __init__(self, rows: list[tuple[int, str | list[str] | None]], k: int = K, window: int = WINDOW, common: frozenset[str] | None = None, stock: set[int] | None = None) -> None:
         self.k, self.window = k, window
         ids: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for item_id, text in rows:
-            if item_id is not None and (own := tuple(words(text))):
+            if item_id is not None and (own := tuple(text if isinstance(text, list) else words(text))):
                 ids[own].append(item_id)
         self.words = [list(w) for w in sorted(ids)]
         self.ids = [sorted(set(ids[tuple(w)])) for w in self.words]
-        count = Counter(w for own in self.words for w in set(own))
-        self.rare = [[count[w] <= 1 + RARE * len(self.words) for w in own] for own in self.words]
+        if common is None:
+            count = Counter(w for own in self.words for w in set(own))
+            common = frozenset(w for w, n in count.items() if n > 1 + RARE * len(self.words))
+        self.rare = [[w not in common for w in own] for own in self.words]
         grams = [gram_hashes(word_hashes(w), STOCK_WORDS) for w in self.words]
-        often = {g for g, n in Counter(g for own in grams for g in set(own.tolist())).items() if n >= STOCK_ITEMS}
+        often = stock if stock is not None else {g for g, n in Counter(g for own in grams for g in set(own.tolist())).items() if n >= STOCK_ITEMS}
         self.stock = []
         for w, own in zip(self.words, grams, strict=True):
             flags = [False] * len(w)
@@ -203,17 +208,40 @@ class Items:
         return total >= min(RUN, WHOLE * length) > 0
 
 
-def _hashed(k: int, window: int):  # noqa: ANN202
-    """Rows (key, text) to their kept hashes and places."""
-    schema = pa.schema([("key", pa.int64()), ("fingerprint", pa.int64()), ("place", pa.int32())])
+def _hashed(k: int, window: int, short: tuple[int, ...] = ()):  # noqa: ANN202
+    """Rows (key, text) to their kept hashes of k words, and all hashes of the ``short`` lengths, each once, with their lengths."""
+    schema = pa.schema([("key", pa.int64()), ("length", pa.int32()), ("fingerprint", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                grams = gram_hashes(word_hashes(words(text)), k)
-                places = winnow(grams, window)
-                if len(places):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), key), pa.int64()), pa.array(grams[places].view(np.int64)), pa.array(places, pa.int32())], schema=schema)
+                hashes = word_hashes(words(text))
+                grams = gram_hashes(hashes, k)
+                for length, kept in ((k, grams[winnow(grams, window)]), *((n, gram_hashes(hashes, n)) for n in short)):
+                    if len(kept):
+                        kept = np.unique(kept)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), key), pa.int64()), pa.array(np.full(len(kept), length), pa.int32()), pa.array(kept.view(np.int64))], schema=schema)
+
+    return run
+
+
+def _wordings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (item, text) to (item, words), without wordless texts."""
+    for batch in batches:
+        own = [(i, words(t)) for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        own = [(i, w) for i, w in own if w]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([w for _, w in own], pa.list_(pa.string()))], names=["item", "words"])
+
+
+def _grams(size: int | None, most: int):  # noqa: ANN202
+    """Rows (wording, words) to (wording, length, fingerprint): each hash of ``size`` words once, or without it of ``most`` or, if fewer, all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, own in zip(batch.column("wording").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                length = size or min(most, len(own))
+                kept = np.unique(gram_hashes(word_hashes(own), length))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(kept), pa.string()), pa.array(np.full(len(kept), length), pa.int32()), pa.array(kept.view(np.int64))], names=["wording", "length", "fingerprint"])
 
     return run
 
@@ -295,25 +323,39 @@ def _joined_in_tasks(rows: DataFrame, listed: list[tuple[int, str]], k: int, win
 def _joined_by_shuffle(rows: DataFrame, items: DataFrame, k: int, window: int, doc_key: str, item_key: str) -> DataFrame:
     """For test sets of any size: fingerprints meet in a shuffle, candidate pairs are spread by pair and extended there.
 
-    Rarity and stock notices are counted among the items of a text's candidates, so both are judged by fewer items here.
-    Items of fewer than k words are left to the whole-word comparison of a second join.
+    Rare words and stock notices are counted over all wordings in tables and joined to the pairs, and wordings of fewer than
+    k words meet by the hash of all their words, so the rows are those of ``_joined_in_tasks``. Broadcast are only the words
+    that are common, of which there are at most 1 / RARE times the mean number of different words of a wording.
     """
-    test = items.select(F.col("item").cast("bigint").alias("key"), "text")
-    doc_marks = spread(rows).select(F.xxhash64("key", "text").alias("key"), "text").mapInArrow(_hashed(k, window), "key bigint, fingerprint bigint, place int")
-    item_marks = test.mapInArrow(_hashed(k, 1), "key bigint, fingerprint bigint, place int").select(F.col("key").alias("item"), "fingerprint")
-    pairs = doc_marks.join(item_marks, "fingerprint").groupBy("key", "item").agg(F.count("*").alias("hits"))
-    texts = rows.withColumn("mark", F.xxhash64("key", "text"))
-    work = pairs.join(texts.select("mark", F.col("key").alias("doc"), "text"), pairs["key"] == F.col("mark")).join(test.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item").select("doc", "item", "text", "item_text")
+    spark = rows.sparkSession
+    listed = spread(items.select(F.col("item").cast("bigint").alias("item"), "text")).mapInArrow(_wordings, "item bigint, words array<string>")
+    test = cut_lineage(listed.groupBy("words").agg(F.collect_set("item").alias("ids")).withColumn("wording", F.sha2(F.concat_ws(" ", "words"), 256)))
+    number = test.count()
+    uses = test.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count()
+    common = spark.sparkContext.broadcast(frozenset(r[0] for r in uses.where(F.col("count") > 1 + RARE * number).select("word").collect()))
+    short = tuple(r[0] for r in test.select(F.size("words")).where(F.size("words") < k).distinct().collect())
+    plain = test.select("wording", "words")
+    kinds = "wording string, length int, fingerprint bigint"
+    notices = plain.where(F.size("words") >= STOCK_WORDS).mapInArrow(_grams(STOCK_WORDS, STOCK_WORDS), kinds)
+    often = notices.groupBy("fingerprint").count().where(F.col("count") >= STOCK_ITEMS).select("fingerprint")
+    stock = notices.join(often, "fingerprint").groupBy("wording").agg(F.collect_set("fingerprint").alias("stock"))
+    told = test.join(stock, "wording", "left")
+
+    doc_marks = spread(rows).select(F.xxhash64("key", "text").alias("key"), "text").mapInArrow(_hashed(k, window, short), "key bigint, length int, fingerprint bigint")
+    pairs = doc_marks.join(plain.mapInArrow(_grams(None, k), kinds), ["length", "fingerprint"]).select("key", "wording").distinct()
+    texts = rows.select(F.xxhash64("key", "text").alias("mark"), F.col("key").alias("doc"), "text").distinct()
+    work = pairs.join(texts, pairs["key"] == F.col("mark")).join(told, "wording").select("doc", "text", "words", "ids", "stock")
     schema = pa.schema([(doc_key, pa.int64()), (item_key, pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, found = [], []
             for row in batch.to_pylist():
-                one = Items([(row["item"], row["item_text"])], k, window)
+                often = set(np.array(row["stock"] or [], np.int64).view(np.uint64).tolist())
+                one = Items([(0, row["words"])], k, window, common.value, often)
                 if _in_text(one, *_tables(one), row["text"]):
-                    docs.append(row["doc"])
-                    found.append(row["item"])
+                    docs += [row["doc"]] * len(row["ids"])
+                    found += row["ids"]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], schema=schema)
 
     return work.mapInArrow(run, f"`{doc_key}` bigint, `{item_key}` bigint").distinct()
