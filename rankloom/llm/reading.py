@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.quality import ProseModel, other_shares
 from rankloom.llm.words import words
 from rankloom.session import cut_lineage, spread
 
-#: Words of the corpus vocabulary; rarer words share the rank after the last. This bounds what is sent to every task.
+#: Words of the corpus vocabulary that are sent to every task; the ranks of rarer words are joined to the documents that have
+#: them. A word that a vocabulary lacks has the rank after these, or after its last.
 VOCABULARY = 50_000
 #: Graded documents that are fitted on: those of smallest hash, at most so many.
 TRAIN_DOCS = 5000
@@ -47,10 +48,10 @@ def coverage(tokens: list[str], ranks: dict[str, int], share: float, unknown: in
     return math.log(own[math.ceil(share * len(own)) - 1])
 
 
-def _coverages(tokens: list[str], ranks: dict[str, int], shares: tuple[float, ...]) -> list[float]:
+def _coverages(tokens: list[str], ranks: Mapping[str, int], shares: tuple[float, ...], size: int = 0) -> list[float]:
     if not tokens:
         return [0.0] * len(shares)
-    get, unknown = ranks.get, VOCABULARY + 1
+    get, unknown = ranks.get, max(VOCABULARY, size) + 1
     own = sorted([get(w, unknown) for w in tokens])
     return [math.log(own[math.ceil(s * len(own)) - 1]) for s in shares]
 
@@ -68,11 +69,11 @@ def complexity(text: str, tokens: list[str]) -> list[float]:
 FEATURES = [*(f"corpus_{int(100 * s)}" for s in SHARES), *(f"grade{g}_{int(100 * s)}" for g in GRADES for s in GRADE_SHARES), "sentence", "word_length", "long_words", "commas", "kinds", "numbers"]
 
 
-def features(text: str, tokens: list[str], corpus: dict[str, int], grades: list[dict[str, int]]) -> list[float]:
+def features(text: str, tokens: list[str], corpus: Mapping[str, int], grades: list[dict[str, int]]) -> list[float]:
     """The features of a document, in the order of FEATURES."""
     out = _coverages(tokens, corpus, SHARES)
     for ranks in grades:
-        out += _coverages(tokens, ranks, GRADE_SHARES)
+        out += _coverages(tokens, ranks, GRADE_SHARES, len(ranks))
     return out + complexity(text, tokens)
 
 
@@ -82,6 +83,27 @@ def corpus_vocabulary(tokens: DataFrame, column: str = "words", size: int = VOCA
     return counted.orderBy(F.desc("uses"), "word").limit(size)
 
 
+def _with_rare(running: DataFrame, read: DataFrame, corpus: dict[str, int]) -> DataFrame:
+    """``running`` with the ranks of the words that ``corpus``, the most frequent ones, lacks: ``rare``, (word, rank)s or null.
+
+    All words of ``read`` are ranked as in ``corpus_vocabulary``; each document's different rare words are joined to them.
+    """
+    order = Window.orderBy(F.desc("uses"), "word")
+    ranked = read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("uses")).select("word", F.row_number().over(order).alias("rank"))
+    shared = running.sparkSession.sparkContext.broadcast(frozenset(corpus))
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            own = [(m, w) for m, t in zip(batch.column("mark").to_pylist(), batch.column("words").to_pylist(), strict=True) for w in sorted({*t} - known)]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in own], pa.string()), pa.array([w for _, w in own], pa.string())], names=["mark", "word"])
+
+    marked = running.withColumn("mark", F.sha2(F.concat_ws(" ", F.col("key").cast("string"), "text"), 256))
+    found = marked.select("mark", "words").mapInArrow(lacking, "mark string, word string").distinct().join(ranked.where(F.col("rank") > len(corpus)), "word")
+    listed = found.groupBy("mark").agg(F.collect_list(F.struct("word", "rank")).alias("rare"))
+    return cut_lineage(marked.join(listed, "mark", "left").drop("mark"))
+
+
 def _prose(model: ProseModel, least: int):  # noqa: ANN202
     """Rows (key, text) to (key, text, words): the normalised words, and the text if it is running prose of ``least`` words, else null."""
     schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("words", pa.list_(pa.string()))])
@@ -165,7 +187,8 @@ def _features_of(model: LevelModel, corpus: dict[str, int], spark):  # noqa: ANN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, grades = shared.value
         for batch in batches:
-            rows = [features(t, w, vocabulary, grades) for t, w in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist(), strict=True)]
+            given = zip(*(batch.column(c).to_pylist() for c in ("text", "words", "rare")), strict=True)
+            rows = [features(t, w, ChainMap({x["word"]: x["rank"] for x in r}, vocabulary) if r else vocabulary, grades) for t, w, r in given]
             matrix = np.array(rows, float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(matrix[:, i]) for i in range(len(FEATURES)))], schema=schema)
 
@@ -177,20 +200,25 @@ def reading_levels(docs: DataFrame, labels: DataFrame, prose: ProseModel, key: s
 
     Null, empty and blank texts, null keys, and what the prose model takes for lists, tables or debris have no row. Grades
     that are null or not 1 to 3 don't count; of several grades of a document the most frequent does, of these the lowest.
-    Repeated rows come out once. Without any graded prose there is no result. The corpus vocabulary counts all texts.
+    Repeated rows come out once. Without any graded prose there is no result. The corpus vocabulary counts all texts and ranks all words;
+    ``vocabulary`` of them are sent to every task, the ranks of rarer ones only to the documents that have them.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     read = cut_lineage(spread(rows).mapInArrow(_prose(prose, least), "key bigint, text string, words array<string>"))
-    # At most ``vocabulary`` words.
-    corpus = {r["word"]: n for n, r in enumerate(corpus_vocabulary(read, "words", vocabulary).collect(), 1)}
+    # At most ``vocabulary`` words, and one more if there are rarer ones.
+    frequent = corpus_vocabulary(read, "words", vocabulary + 1).collect()
+    corpus = {r["word"]: n for n, r in enumerate(frequent[:vocabulary], 1)}
     votes = labels.where(F.col(grade).isin(*GRADES) & F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("key"), F.col(grade).cast("int").alias("grade")).count()
     known = votes.groupBy("key").agg(F.max(F.struct("count", -F.col("grade"))).alias("v")).select("key", (-F.col("v.col2")).alias("grade"))
     running = read.where(F.col("text").isNotNull())
+    none = F.lit(None).cast("array<struct<word:string,rank:int>>")
+    running = _with_rare(running, read, corpus) if len(frequent) > vocabulary else running.withColumn("rare", none)
     graded = known.orderBy(F.xxhash64("key"), "key").limit(train)
     # At most ``train`` documents.
-    fitted = running.join(F.broadcast(graded), "key").select("key", "grade", "text", "words").collect()
-    model = LevelModel.fit([(r["grade"], r["text"], r["words"]) for r in sorted(fitted, key=lambda r: (r["key"], r["text"]))], corpus)
+    fitted = running.join(F.broadcast(graded), "key").select("key", "grade", "text", "words", "rare").collect()
+    ranks = corpus | {x["word"]: x["rank"] for r in fitted for x in r["rare"] or []}
+    model = LevelModel.fit([(r["grade"], r["text"], r["words"]) for r in sorted(fitted, key=lambda r: (r["key"], r["text"]))], ranks)
     if model is None:
         return spark.createDataFrame([], f"`{key}` bigint, `{grade}` int")
     measured = running.mapInArrow(_features_of(model, corpus, spark), "key bigint, " + ", ".join(f"{n} double" for n in FEATURES))
