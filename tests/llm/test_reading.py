@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
+
 from rankloom.llm import quality, reading
 
 EASY = "el gato come pan . la niña ve el sol . mi mamá está en la casa y el perro corre . hay un pez en el mar .".split(" . ")
@@ -43,15 +46,22 @@ def test_empty(spark):
 
 
 def test_coverage_is_the_smallest_head():
-    import math
+    ranks = {w: i for i, w in enumerate("abcdef", 1)} | {"zz": reading.UNKNOWN_RANK}
+    docs = [list("aabf"), ["zz"], list("fedcba")]
+    own = np.array([ranks[w] for d in docs for w in d])
+    got = np.exp(reading.coverage(own, np.array([len(d) for d in docs]), (0.5, 0.75, 1.0))).round(6)
+    assert got.tolist() == [[1, 2, 6], [reading.UNKNOWN_RANK] * 3, [3, 5, 6]]
+
 
-    ranks = {w: i for i, w in enumerate("abcdef", 1)}
-    assert math.exp(reading.coverage(list("aabf"), ranks, 0.5)) == 1
-    assert round(math.exp(reading.coverage(list("aabf"), ranks, 0.75))) == 2
-    assert round(math.exp(reading.coverage(list("aabf"), ranks, 1.0))) == 6
-    assert round(math.exp(reading.coverage(["zz"], ranks, 0.5))) == reading.VOCABULARY + 1
+def test_complexity_of_texts_together():
+    texts = ["Uno, dos. Tres!", "extraordinario 12 12"]
+    vocabulary = ["uno", "dos", "tres", "extraordinario", "12"]
+    got = reading.complexity(texts, np.array([0, 1, 2, 3, 4, 4]), np.array([3, 3]), vocabulary)
+    assert np.allclose(got[0], [math.log(1.5), 10 / 3, 0, 1 / 3, 1, 0])
+    assert np.allclose(got[1], [math.log(3), 18 / 3, 1 / 3, 0, 2 / 3, 2 / 3])
+    assert reading.complexity([], np.empty(0, int), np.empty(0, int), vocabulary).shape == (0, 6)
 
 
-def test_vocabulary_counts_all_rows(spark):
-    df = spark.createDataFrame([(["a", "b", "a"],), (["b", "c"],), ([],)], "words array<string>")
-    assert [tuple(r) for r in reading.corpus_vocabulary(df, size=2).collect()] == [("a", 2), ("b", 2)]
+def test_vocabulary_counts_all_blocks(spark):
+    df = spark.createDataFrame([(["a", "b", "c"], [2, 1, 1]), (["b", "d"], [1, 1]), ([], [])], "words array<string>, uses array<int>")
+    assert {tuple(r) for r in reading.corpus_ranks(df).collect()} == {("a", 2, 2), ("b", 2, 2), ("c", 1, 4), ("d", 1, 4)}
