@@ -1,9 +1,9 @@
 """Per-document text quality statistics, and which texts are no natural prose.
 
-Method: tables and lists show in the shape of the text: delimiters that stand in line from one line to the next, a periodic
-indentation, a period of the lengths of lines. The first is told of a stretch, the periods of its whole text. Together with word, symbol, punctuation and repetition ratios they
-describe each stretch of a text; a logistic model, fitted on a bounded sample of labelled documents, tells how much of the
-text is prose.
+Method: tables and lists show in the shape of the text: delimiters that stand in the same columns from one line to the next, or
+as many of them in each, a periodic indentation, a period of the lengths of lines. The first two are told of a stretch, the
+periods of its whole text. Together with word, symbol, punctuation and repetition ratios they describe each stretch of a text;
+a logistic model, fitted on a bounded sample of labelled documents, tells how much of the text is prose.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import word_count
+from rankloom.llm.tasks import spread
 from rankloom.llm.words import gram_hashes
-from rankloom.session import spread
 
 #: Labelled documents that the model is fitted on: those of smallest hash, at most so many.
 TRAIN_DOCS = 4000
+#: Stretches of a labelled document that the model is fitted on: all, or so many evenly spaced ones.
+TRAIN_STRETCHES = 200
 #: Words of a stretch of text that is judged by itself.
 STRETCH = 30
 
@@ -46,11 +48,12 @@ _VOWEL = re.compile(r"[aeiouáéíóúàâãêôõüyAEIOUÁÉÍÓÚÀÂÃÊÔÕ
 _ODD = re.compile(r"[^\w\s.,;:!?¡¿'\"«»()\-—–“”‘’…%°²ªº/&]|[\x00-\x08\x0e-\x1f�_]")
 _INNER = re.compile(r"\w[^\w\s]+\w\S*")
 _DELIMITER = re.compile(r"[|;\t\"=]|  ")
+_COLUMN = re.compile(r"[|;=]| {2,}(?=\S)")
 
 FEATURES = [
     "function_share", "function_kinds", "digit_share", "odd_share", "word_length", "words_per_line", "lines_ended", "bullets", "aligned",
     "short_lines", "capital_share", "repeated", "vowel_share", "hard_words", "inner_signs", "long_pieces", "sentence_ends", "broken", "letters_share", "gap_lines",
-    "indent_period", "length_period",
+    "indent_period", "length_period", "columns",
 ]
 
 
@@ -77,6 +80,27 @@ def _aligned(shapes: list[tuple[int, ...]], owner: list[int]) -> list[bool]:
     return out
 
 
+def _columns(line: str, shape: tuple[int, ...]) -> frozenset[int]:
+    """The columns in which a line has | ; = or begins again behind a wide gap or a tab; what leads the line doesn't count."""
+    if not any(shape[:3]) and not shape[5] and not shape[6]:
+        return frozenset()
+    own = line.expandtabs(8).rstrip()
+    lead = len(own) - len(own.lstrip())
+    return frozenset(m.end() for m in _COLUMN.finditer(own, lead + 1))
+
+
+def _in_columns(columns: list[frozenset[int]], owner: list[int]) -> list[float]:
+    """How many of a line's columns the line of its text before or after has too, as a share of the columns of the one that has
+    more; the greater of both."""
+    out = [0.0] * len(columns)
+    for i in range(1, len(columns)):
+        a, b = columns[i - 1], columns[i]
+        if a and b and owner[i] == owner[i - 1]:
+            share = len(a & b) / max(len(a), len(b))
+            out[i - 1], out[i] = max(out[i - 1], share), max(out[i], share)
+    return out
+
+
 def _repeats(tokens: list[str], owner: np.ndarray, n: int = 10) -> np.ndarray:
     """Words of passages that their text says three times or more on end.
 
@@ -167,6 +191,7 @@ class Shape:
         self.ended = [_END.search(line) is not None for line in self.lines]
         self.shapes = [_delimiters(line, len(own)) for line, own in zip(self.lines, self.pieces, strict=True)]
         self.aligned = _aligned(self.shapes, self.text_of_line)
+        self.in_columns = _in_columns([_columns(line, x) for line, x in zip(self.lines, self.shapes, strict=True)], self.text_of_line)
         self.flat = [p for own in self.pieces for p in own]
         self.words = len(self.flat)
         self.joined = " ".join(self.flat)
@@ -261,7 +286,7 @@ class Shape:
             np.log1p(pieces / lines), share(self.ended), share(self.bullet), share(self.aligned), share(short),
             within((self.classes[self.starts] & _UPPER) > 0) / found, by_piece(self.repeated) / pieces, vowels / np.maximum(1, letters), within(hard) / found,
             inner / pieces, by_piece(self.sizes > 25) / pieces + solid / pieces / 50, by_piece(ended) / pieces, count(_BROKE) / pieces, letters / solid,
-            share([s[5] > 0 for s in self.shapes]), self.periods()[texts],
+            share([s[5] > 0 for s in self.shapes]), self.periods()[texts], share(self.in_columns),
         ])
         return out, solid.astype(float), texts
 
@@ -290,7 +315,7 @@ def _expanded(rows: np.ndarray) -> np.ndarray:
 
 
 class ProseModel:
-    """Logistic model of a stretch being no prose; without one, plain thresholds."""
+    """Logistic model of a stretch being no prose; without labels of both classes there is none, and plain rules decide."""
 
     def __init__(self, mean: np.ndarray | None = None, spread: np.ndarray | None = None, weights: np.ndarray | None = None) -> None:
         self.mean, self.spread, self.weights = mean, spread, weights
@@ -311,15 +336,14 @@ class ProseModel:
         return out
 
     @classmethod
-    def fit(cls, docs: list[tuple[bool, np.ndarray]], ridge: float = 3.0, rounds: int = 4, least: int = 5) -> ProseModel:
+    def fit(cls, docs: list[tuple[bool, np.ndarray]], ridge: float = 3.0, rounds: int = 4) -> ProseModel:
         """Fits on documents: whether a label says it is no prose, and the features of its stretches.
 
         Labels are of documents and a few are wrong: between the rounds, stretches that clearly look like the other class
-        change over, so that a prose opening of a list teaches prose. With fewer than ``least`` documents of a class there
-        is no model.
+        change over, so that a prose opening of a list teaches prose. Where a class has no document there is no model.
         """
         docs = [(y, x) for y, x in docs if len(x)]
-        if min(sum(y for y, _ in docs), sum(not y for y, _ in docs)) < least:
+        if len({bool(y) for y, _ in docs}) < 2:
             return cls()
         rows = _expanded(np.vstack([x for _, x in docs]))
         label = np.repeat([float(y) for y, _ in docs], [len(x) for _, x in docs])
@@ -361,33 +385,62 @@ def other_share(text: str | None, model: ProseModel) -> float | None:
 
 
 _STATS = [
-    "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "ended_line_share", "common_word_share", "bullet_line_share", "delimiter_alignment",
-    "indent_period", "length_autocorrelation", "repeated_share",
+    "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "ended_line_share", "common_word_share", "bullet_line_share", "delimiter_alignment", "delimiter_columns",
+    "indent_period", "length_period", "length_autocorrelation", "repeated_share",
 ]
 
 
-def text_shape(text: str | None, model: ProseModel | None = None) -> dict[str, float | int | None]:
-    """The statistics of one text. Without words every share is 0."""
-    if not text or not text.strip():
-        return dict.fromkeys(_STATS, 0.0) | {"lines": 0, "other_share": None}
-    shape = Shape([text])
-    solid, n, rows = max(1, int(shape.sizes.sum())), max(1, len(shape.found)), max(1, len(shape.lines))
-    share = lambda bit: float(((shape.classes & bit) > 0).sum()) / solid
+def _statistics(shape: Shape, count: int) -> list[dict[str, float | int | None]]:
+    """The statistics of each text of a shape; all have words."""
+    bounds = np.searchsorted(shape.text_of_line, np.arange(count + 1))
+    pieces = np.concatenate([[0], np.cumsum([len(own) for own in shape.pieces])])[bounds]
+    places = np.minimum(np.concatenate([[0], np.cumsum(shape.sizes + 1)])[pieces], len(shape.classes))
+    runs = np.searchsorted(shape.starts, places)
+
+    def total(x: list | np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+
+    lines, words = np.diff(bounds), np.maximum(1, np.diff(runs))
+    solid = np.maximum(1, total(shape.sizes, pieces))
+    share = lambda bit: total((shape.classes & bit) > 0, places) / solid
     lengths = [len(x) for x in shape.lines]
-    return {
-        "mean_word_length": float((shape.stops - shape.starts).sum()) / n,
-        "symbol_ratio": share(_STRANGE),
-        "digit_ratio": share(_DIGITS),
-        "lines": len(shape.lines),
-        "ended_line_share": sum(shape.ended) / rows,
-        "common_word_share": float(shape.function.sum()) / n,
-        "bullet_line_share": sum(shape.bullet) / rows,
-        "delimiter_alignment": sum(shape.aligned) / rows,
-        "indent_period": _period(shape.indents) if any(shape.indents) else 0.0,
-        "length_autocorrelation": _autocorrelation(lengths, 1),
-        "repeated_share": float(shape.repeated.mean()) if shape.words else 0.0,
-        "other_share": other_share(text, model) if model else None,
-    }
+    columns = {
+        "mean_word_length": total(shape.stops - shape.starts, runs) / words, "symbol_ratio": share(_STRANGE), "digit_ratio": share(_DIGITS), "lines": lines,
+        "ended_line_share": total(shape.ended, bounds) / lines, "common_word_share": total(shape.function, runs) / words, "bullet_line_share": total(shape.bullet, bounds) / lines,
+        "delimiter_alignment": total(shape.aligned, bounds) / lines, "delimiter_columns": total(shape.in_columns, bounds) / lines,
+        "indent_period": shape.periods()[:, 0], "length_period": shape.periods()[:, 1],
+        "length_autocorrelation": [_autocorrelation(lengths[a:b], 1) for a, b in zip(bounds, bounds[1:], strict=False)],
+        "repeated_share": total(shape.repeated, pieces) / np.maximum(1, np.diff(pieces)),
+    }
+    return [{n: int(x[i]) if n == "lines" else float(x[i]) for n, x in columns.items()} for i in range(count)]
+
+
+def text_shapes(texts: list[str | None], model: ProseModel | None = None, chars: int = 400_000) -> list[dict[str, float | int | None]]:
+    """The statistics of each text; without words every share is 0. Texts are measured together, each as it would be by itself."""
+    none = dict.fromkeys(_STATS, 0.0) | {"lines": 0, "other_share": None}
+    out = [none] * len(texts)
+    sound = [n for n, t in enumerate(texts) if t and t.strip()]
+    batch: list[int] = []
+    size = 0
+    for n in sound:
+        batch.append(n)
+        size += len(texts[n])
+        if size >= chars or n == sound[-1]:
+            shape = Shape([texts[i] for i in batch])
+            other: list[float | None] = [None] * len(batch)
+            if model:
+                rows, weights, owner = shape.features()
+                gone = model.other(rows) * weights
+                other = [float(x) for x in np.bincount(owner, gone, len(batch)) / np.maximum(1, np.bincount(owner, weights, len(batch)))]
+            for i, own, o in zip(batch, _statistics(shape, len(batch)), other, strict=True):
+                out[i] = own | {"other_share": o}
+            batch, size = [], 0
+    return out
+
+
+def text_shape(text: str | None, model: ProseModel | None = None) -> dict[str, float | int | None]:
+    """``text_shapes`` of one text."""
+    return text_shapes([text], model)[0]
 
 
 def fit_prose_model(docs: DataFrame, labels: DataFrame, key: str = "docid", text: str = "text", label: str = "label", most: int = TRAIN_DOCS) -> ProseModel:
@@ -397,24 +450,17 @@ def fit_prose_model(docs: DataFrame, labels: DataFrame, key: str = "docid", text
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(F.when(F.col(label) == "prose", 0).otherwise(1)).alias("other"))
     known = known.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)
-    texts = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(known), key)
+    texts = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.col(text).alias("text")).join(F.broadcast(known), key)
+    longest = texts.groupBy(F.col(key).cast("string").alias("key"), "other").agg(F.max(F.struct(F.length("text").alias("size"), "text")).alias("x")).select("key", "other", "x.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [rows for rows, _ in stretch_features(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("other"), pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int32()), pa.array([x.ravel().tolist() for x in out], pa.list_(pa.float64()))],
-                names=["key", "other", "size", "rows"],
-            )
+            out = [rows[np.unique(np.linspace(0, max(0, len(rows) - 1), min(len(rows), TRAIN_STRETCHES)).astype(int))] for rows, _ in stretch_features(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("other"), pa.array([x.astype(np.float32).tobytes() for x in out], pa.binary())], names=["key", "other", "rows"])
 
-    features = rows.select(F.col(key).cast("string").alias("key"), "other", "text").mapInArrow(run, "key string, other int, size int, rows array<double>")
-    # At most ``most`` labelled documents.
-    best: dict[str, tuple] = {}
-    for key_, other, size, flat in features.collect():
-        if key_ not in best or (size, flat) > (best[key_][0], best[key_][2]):
-            best[key_] = (size, bool(other), flat)
-    return ProseModel.fit([(other, np.array(flat).reshape(-1, len(FEATURES))) for _, (_, other, flat) in sorted(best.items())])
+    # At most ``most`` labelled documents, each of at most TRAIN_STRETCHES rows of single precision.
+    found = spread(longest).mapInArrow(run, "key string, other int, rows binary").collect()
+    return ProseModel.fit([(bool(other), np.frombuffer(flat, np.float32).astype(float).reshape(-1, len(FEATURES))) for _, other, flat in sorted(found)])
 
 
 _SHAPE_TYPE = pa.struct([(n, pa.int32() if n == "lines" else pa.float64()) for n in [*_STATS, "other_share"]])
@@ -426,7 +472,7 @@ def shape_of(text: Column, model: ProseModel | None = None) -> Column:
 
     @F.arrow_udf(kind)
     def shape(texts: pa.Array) -> pa.Array:
-        return pa.array([text_shape(t, model) for t in texts.to_pylist()], _SHAPE_TYPE)
+        return pa.array(text_shapes(texts.to_pylist(), model), _SHAPE_TYPE)
 
     return shape(text)
 
