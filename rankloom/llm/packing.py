@@ -2,13 +2,14 @@
 
 Method: bounded-space online best-fit. Each task keeps a fixed number of open bins in a bitset keyed by free space; an item
 goes to the open bin that it fills best, and where a bin is needed beyond the number, the fullest closes first. The bins that
-are still open when the tasks end, at most that number for each task, are packed once more as whole items.
+are still open when the tasks end, at most that number for each task, are packed once more as whole items, in a tree of tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,22 +63,22 @@ class OpenBins:
 
 
 def _pack(capacity: int, limit: int, schema: pa.Schema):  # noqa: ANN202
-    """Packs the rows (key..., words) of a partition; adds the bin and, for a bin still open at the end, its free space."""
+    """Packs the rows (key..., words) of a partition and adds the bin of each as they come; at the end a row for each bin that is
+    still open, with null keys, its words and its free space. Only the open bins are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        bins, held, placed = OpenBins(capacity, limit), [], []
+        bins = OpenBins(capacity, limit)
         for batch in batches:
-            held.append(batch)
-            placed.append([bins.place(w) for w in batch.column("words").to_pylist()])
-        still = bins.still_open()
-        for batch, own in zip(held, placed, strict=True):
+            own = np.array([bins.place(w) for w in batch.column("words").to_pylist()], np.int64)
             columns = [batch.column(n) for n in batch.schema.names]
-            columns.append(pa.array([(task << 32) + b for b in own], pa.int64()))
-            columns.append(pa.array([still.get(b, -1) for b in own], pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((task << 32) + own), pa.nulls(batch.num_rows, pa.int32())], schema=schema)
+        still = bins.still_open()
+        if still:
+            tail = {"words": [capacity - f for f in still.values()], "bin": [(task << 32) + b for b in still], "free": list(still.values())}
+            yield pa.RecordBatch.from_arrays([pa.array(tail.get(f.name, [None] * len(still)), f.type) for f in schema], schema=schema)
 
     return run
 
@@ -98,7 +99,7 @@ def pack_items(items: DataFrame, key: str, words: str, capacity: int = CAPACITY,
     A repeated key is one item of its greatest length; null keys are no items; null or negative lengths count as 0, and such
     an item takes a place in a container too. Only items over the capacity are divided. An empty table gives no rows.
     The rows go to ``tasks`` tasks (default: spark.sql.shuffle.partitions) by hash and are packed there in key order, so
-    the result is the same on every run. A task holds the sizes and keys of its own items only.
+    the result is the same on every run. A task hands items on as it packs them and holds its open bins only.
     """
     spark = items.sparkSession
     one = items.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.max(F.greatest(F.coalesce(F.col(words), F.lit(0)), F.lit(0))).alias("__w"))
@@ -113,12 +114,36 @@ def pack_items(items: DataFrame, key: str, words: str, capacity: int = CAPACITY,
             f"`{key}` {kind if kind == 'string' else 'bigint'}, piece int, pieces int, words int, bin bigint, free int",
         )
     )
-    # At most open_bins rows for each task, so that one task can hold them.
-    tails = first.where("free >= 0").select(F.col("bin").alias("tail"), (F.lit(capacity) - F.col("free")).alias("words")).distinct()
-    again = tails.repartition(1).sortWithinPartitions(F.desc("words"), "tail").mapInArrow(
-        _pack(capacity, open_bins, pa.schema([("tail", pa.int64()), ("words", pa.int32()), ("bin", pa.int64()), ("free", pa.int32())])),
-        "tail bigint, words int, bin bigint, free int",
-    ).select("tail", (F.lit(tasks).cast("bigint") * F.lit(1 << 32) + F.col("bin")).alias("merged"))
-    return first.join(again, first["bin"] == again["tail"], "left").select(
-        key, "piece", "pieces", "words", F.coalesce("merged", "bin").alias("container")
-    )
+    placed = first.where("free IS NULL").drop("free")
+    tails = first.where("free IS NOT NULL").select(F.col("bin").alias("tail"), "words")
+    merged = _merged(tails, tasks, capacity, open_bins)
+    return placed.join(merged, placed["bin"] == merged["tail"], "left").select(key, "piece", "pieces", "words", F.coalesce("container", "bin").alias("container"))
+
+
+#: Tasks whose open bins are packed once more by one task of the next round.
+FAN_IN = 16
+
+
+def _merged(tails: DataFrame, tasks: int, capacity: int, open_bins: int) -> DataFrame:
+    """(tail, container): the bins (tail, words) that ``tasks`` tasks left open, packed as whole items in a tree of tasks.
+
+    A task has the open bins of at most about FAN_IN tasks, ``open_bins`` each; the numbers of a round's containers begin behind
+    those of the round before.
+    """
+    schema = pa.schema([("tail", pa.int64()), ("words", pa.int32()), ("bin", pa.int64()), ("free", pa.int32())])
+    base, merged = tasks, None
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        shifted = (F.col("bin") + F.lit(base << 32)).alias("bin")
+        spread = tails.repartition(tasks, "tail").sortWithinPartitions(F.desc("words"), "tail")
+        packed = cut_lineage(spread.mapInArrow(_pack(capacity, open_bins, schema), "tail bigint, words int, bin bigint, free int").select("tail", "words", shifted, "free"))
+        own = packed.where("free IS NULL").select("tail", F.col("bin").alias("container"))
+        if merged is None:
+            merged = own
+        else:
+            again = own.withColumnsRenamed({"tail": "at", "container": "later"})
+            merged = merged.join(again, merged["container"] == again["at"], "left").select("tail", F.coalesce("later", "container").alias("container"))
+        if tasks == 1:
+            return merged
+        tails = packed.where("free IS NOT NULL").select(F.col("bin").alias("tail"), "words")
+        base += tasks

@@ -48,3 +48,14 @@ def test_same_on_every_run_and_few_tails(spark):
     assert sorted(packed(spark, items)) == sorted(packed(spark, items[::-1]))
     few = packed(spark, [(f"d{i}", 10, "x") for i in range(40)], tasks=16)
     assert len({r["container"] for r in few}) == 1
+
+
+def test_a_tree_of_tasks(spark):
+    rng = random.Random(4)
+    sizes = {f"d{i}": rng.choice([rng.randrange(1, 120), 700]) for i in range(4000)}
+    rows = packed(spark, [(k, n, "x") for k, n in sizes.items()], tasks=300, open_bins=4)
+    total: dict[int, int] = {}
+    for r in rows:
+        total[r["container"]] = total.get(r["container"], 0) + r["words"]
+    assert sum(total.values()) == sum(sizes.values()) and max(total.values()) <= 512
+    assert sum(total.values()) / (512 * len(total)) > 0.93
