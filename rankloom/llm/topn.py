@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.session import cut_lineage
+
 #: Rows that a task gathers before it takes their bounds and forgets them; any number gives valid bounds.
 CHUNK_ROWS = 500_000
-#: Most bounds that are broadcast, those of the largest groups; the other groups go unfiltered to the ranking.
+#: Most bounds that are broadcast, those of the groups with most rows; beyond it, those of the other groups are joined by a shuffle.
 MAX_BOUNDS = 200_000
 
 
@@ -62,6 +64,16 @@ def group_bounds(rows: DataFrame, groups: Sequence[str], n: int, chunk_rows: int
     return by_score.groupBy(*names).agg(top, F.max_by("bound_item", "bound_score").alias("bound_item"), F.sum("seen").alias("seen"))
 
 
+def _hot(bounds: DataFrame, most: int) -> int:
+    """The least number of parts (``seen``) from which on at most ``most`` groups have as many; there are few such numbers."""
+    total, least = 0, 1
+    for r in sorted(bounds.groupBy("seen").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            return r["seen"] + 1
+    return least
+
+
 def top_n(df: DataFrame, groups: Sequence[str], item: str, score: str, n: int = 10, max_bounds: int = MAX_BOUNDS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(groups..., item, score, rank): the ``n`` distinct items of highest score in each group, fewer if it has fewer.
 
@@ -69,8 +81,10 @@ def top_n(df: DataFrame, groups: Sequence[str], item: str, score: str, n: int =
     highest score. Rows with a null group key, a null item, or a null or not-a-number score never count; infinite scores do.
     Columns besides those named do not matter. An empty table gives no rows. Groups and items come out as strings.
 
-    A bound is broadcast for at most ``max_bounds`` groups; rows of other groups go on unfiltered, so the result is whole.
-    Behind the filter a partition has at most ``n`` items of a bounded group, so no group is gathered in one task.
+    Every group that has ``n`` items in some part of a partition has a bound. If there are more than ``max_bounds`` of them,
+    those of the groups that fill most parts are broadcast, so that hot groups are cut where they are read, and the others are
+    joined in a shuffle by group. Behind the filter a partition has at most ``n`` items of a bounded group, so no group is gathered
+    in one task.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -83,10 +97,12 @@ def top_n(df: DataFrame, groups: Sequence[str], item: str, score: str, n: int =
         F.col(f"`{item}`").cast("string").alias("item"), (F.col(f"`{score}`").cast("double") + F.lit(0.0)).alias("score"),
     )
     bounds = group_bounds(rows, names, n, chunk_rows)
-    bounds = bounds.orderBy(F.desc("seen"), *names).limit(max_bounds).drop("seen")
-    near = rows.join(F.broadcast(bounds), names, "left").where(
-        F.col("bound_score").isNull() | (F.col("score") > F.col("bound_score")) | ((F.col("score") == F.col("bound_score")) & (F.col("item") <= F.col("bound_item")))
-    )
+    passes = F.col("bound_score").isNull() | (F.col("score") > F.col("bound_score")) | ((F.col("score") == F.col("bound_score")) & (F.col("item") <= F.col("bound_item")))
+    least = _hot(bounds := cut_lineage(bounds), max_bounds)
+    hot = bounds.where(F.col("seen") >= least).drop("seen")
+    near = rows.join(F.broadcast(hot), names, "left").where(passes).select(*names, "item", "score")
+    if least > 1:
+        near = near.join(bounds.where(F.col("seen") < least).drop("seen"), names, "left").where(passes).select(*names, "item", "score")
     best = near.groupBy(*names, "item").agg(F.max("score").alias("score"))
     order = Window.partitionBy(*names).orderBy(F.desc("score"), "item")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -27,7 +27,7 @@ def test_against_brute_force(spark):
         score = random.choice([None, math.nan, math.inf, -math.inf, 0.0, -0.0, 1.5]) if random.random() < 0.2 else round(random.gauss(0, 1), 1)
         rows.append((random.choice(["a", "b", None]), random.choice([q, q, q, None]), random.choice([f"d{random.randrange(400)}", "ñ", None, "d1"]), score, 7))
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    for options in ({}, {"chunk_rows": 50}, {"max_bounds": 1}):
+    for options in ({}, {"chunk_rows": 50}, {"max_bounds": 1}, {"chunk_rows": 40, "max_bounds": 3}, {"chunk_rows": 40, "max_bounds": 0}):
         got = sorted(tuple(r) for r in topn.top_n(df, ["model", "query_id"], "doc_id", "score", 10, **options).collect())
         assert [(m, q, d, s + 0.0, r) for m, q, d, s, r in got] == [(m, q, d, s + 0.0, r) for m, q, d, s, r in brute(rows, 10)]
 
