@@ -25,8 +25,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Every piece of every row; a row's number among those of its docid and field isn't needed, its text tells it."""
-    return splitting.split_texts(_p1_rows(spark, folder), "body").where("pieces > 1").distinct()
+    """Every piece of every row; repeated rows have their pieces each."""
+    return splitting.split_texts(_p1_rows(spark, folder), "body").where("pieces > 1")
+
+
+def p1_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of a text must add up to: rows split, characters covered, pieces over the limit, gaps, overlaps out of bounds."""
+    pieces = p1_pieces(spark, folder)
+    cut = F.col("piece") > 0
+    # Places of a cut are ends of one piece and, less the overlap, starts of the next.
+    totals = pieces.groupBy("docid", "field").agg(
+        F.count_if(F.col("piece") == 0).alias("rows"), F.sum(F.when(F.col("piece") == F.col("pieces") - 1, F.col("stop"))).alias("chars"),
+        F.count_if((F.col("stop") - F.col("start") > splitting.LIMIT) | (F.length("piece_text") != F.col("stop") - F.col("start"))).alias("wrong"),
+        (F.sum(F.when(F.col("piece") < F.col("pieces") - 1, F.col("stop"))) - F.sum(F.when(cut, F.col("start")))).alias("shared"), F.count_if(cut).alias("cuts"),
+    )
+    low, high = splitting.OVERLAP - splitting.SLACK, splitting.OVERLAP
+    return totals.select("docid", "field", "rows", F.col("chars").cast("bigint").alias("chars"), "wrong", F.col("shared").between(low * F.col("cuts"), high * F.col("cuts")).alias("overlapping"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +137,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-_QUERIES = [p1_found, p1_pieces, p2_found, p2_recall, p3_found, p3_bins, p3_items, p3_fill, p4_found, p4_ranked, p5_found, p5_statistics, p5_word_counts, p6_ids, p6_decoded, p7_found, p8_found]
+_QUERIES = [p1_found, p1_pieces, p1_layout, p2_found, p2_recall, p3_found, p3_bins, p3_items, p3_fill, p4_found, p4_ranked, p5_found, p5_statistics, p5_word_counts, p6_ids, p6_decoded, p7_found, p8_found]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -151,6 +165,9 @@ def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express."""
     return {
         "p1_found": f"SELECT DISTINCT docid, 'text' AS field FROM corpus WHERE docid IS NOT NULL AND length(text) > 2000 UNION SELECT DISTINCT docid, 'full_text' FROM corpus WHERE docid IS NOT NULL AND length({_FULL}) > 2000",
+        "p1_layout": f"""
+WITH r AS (SELECT docid, unnest([{{'field': 'text', 'body': text}}, {{'field': 'full_text', 'body': {_FULL}}}], recursive := true) FROM corpus WHERE docid IS NOT NULL)
+SELECT docid, field, count(*) AS rows, CAST(sum(length(body)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS wrong, true AS overlapping FROM r WHERE length(body) > 2000 GROUP BY ALL""",
         "p2_found": f"""
 WITH d AS ({_sound('doc_embeddings')}), q AS ({_sound('query_embeddings')}),
 s AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 12) AS sim FROM q, d)

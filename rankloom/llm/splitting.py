@@ -1,7 +1,8 @@
 """Splitting oversized texts at natural boundaries, with a specified overlap.
 
 Method: the least number of pieces that the limit allows gives targets of equal length; each target moves to the strongest
-boundary near it; while a piece is over the limit, one more piece is planned.
+boundary near it, and the targets behind it are spread evenly over what is left; where the rest no longer fits within the limit,
+one more piece is planned for it, so that a layout is mended from where it failed.
 """
 
 from __future__ import annotations
@@ -31,28 +32,47 @@ _BOUNDARIES = [
 ]
 
 
-def _boundary(text: str, target: int, low: int, high: int) -> int:
-    """The strongest boundary in ``low..high``, of equal ones the nearest to ``target``, of these the first; else ``target``.
-
-    Without any boundary the cut stays at the target, but not before a combining mark.
+def within_character(text: str, at: int) -> bool:
+    """Whether a cut at this place would part what is shown as one character: before a combining mark, a variation selector, a
+    joiner or what it joins, a skin tone or a tag, between the halves of a flag, within a line end."""
+    if not 0 < at < len(text):
+        return False
+    before, after = text[at - 1], text[at]
+    if after < "\u0300":
+        return after == "\n" and before == "\r" or before == "\u200d"
+    code = ord(after)
+    if before == "\u200d" or after == "\u200d" or 0xFE00 <= code <= 0xFE0F or 0x1F3FB <= code <= 0x1F3FF or 0xE0020 <= code <= 0xE007F:
+        return True
+    if 0x1F1E6 <= code <= 0x1F1FF:
+        n = at
+        while n and 0x1F1E6 <= ord(text[n - 1]) <= 0x1F1FF:
+            n -= 1
+        return (at - n) % 2 == 1
+    return unicodedata.category(after) in ("Mn", "Me", "Mc")
+
+
+def _boundary(text: str, target: int, low: int, high: int, back: bool = True) -> int:
+    """The strongest boundary in ``low..high``, of equal ones the nearest to ``target``, of these the first.
+
+    Without any boundary it is the target, or the nearest place before it (``back``) or after it that parts no character; the
+    target itself if there is none in ``low..high``.
     """
-    window = text[max(0, low - 1) : high]
     base = max(0, low - 1)
+    window = text[base:high]
     for pattern in _BOUNDARIES:
-        found = [base + m.end() for m in pattern.finditer(window) if low <= base + m.end() <= high]
+        found = [base + m.end() for m in pattern.finditer(window) if low <= base + m.end() <= high and not within_character(text, base + m.end())]
         if found:
             return min(found, key=lambda at: (abs(at - target), at))
-    at = target
-    while at > low and at < len(text) and unicodedata.combining(text[at]):
-        at -= 1
-    return at
+    places = range(target, low - 1, -1) if back else range(target, high + 1)
+    return next((at for at in places if not within_character(text, at)), target)
 
 
 def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, reach: float = REACH, slack: int = SLACK) -> list[tuple[int, int]]:
     """Start and end of each piece of ``text``, in code points. A text within the limit is one piece, an empty one too.
 
     Every piece has at most ``limit`` characters, the pieces cover the text, and each begins with the last ``overlap``
-    characters of the one before, or up to ``slack`` fewer where that begins it at a break.
+    characters of the one before, or up to ``slack`` fewer where that begins it at a break or keeps a character whole. A cut is
+    within a character only if that is longer than the reach of a cut.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
@@ -60,30 +80,18 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, reach: float =
     if n <= limit:
         return [(0, n)]
     slack = min(slack, overlap)
-    count = math.ceil((n - overlap) / (limit - overlap))
-    while True:
-        step = (n - overlap) / count  # what each piece adds; its length is this and the overlap
-        move = max(0, min(int(reach * step), int(step / 2) - 1))
-        out, start = [], 0
-        for i in range(1, count + 1):
-            if i == count:
-                end = n
-            else:
-                target = round(overlap + i * step)
-                low, high = max(target - move, start + overlap + 1), min(target + move, start + limit, n - 1)
-                if low > high:
-                    break
-                end = _boundary(text, min(max(target, low), high), low, high)
-            if end - start > limit or end <= start:
-                break
-            out.append((start, end))
-            if i < count:
-                start = _start(text, end, overlap, slack)
-        if len(out) == count:
-            return out
-        count += 1
-        if count > n:  # tiny limits: windows too narrow for boundaries
-            return _plain(n, limit, overlap)
+    out, start, left = [], 0, 0
+    while n - start > limit:
+        # The least number of pieces for the rest; more than planned if cuts before their targets have used up the room.
+        left = max(left, math.ceil((n - start - overlap) / (limit - overlap)), 2)
+        step = (n - start - overlap) / left  # what each piece adds; its length is this and the overlap
+        move = max(1, min(int(reach * step), int(step / 2) - 1))
+        first, last = start + overlap + 1, min(start + limit, n - 1)
+        target = min(max(round(start + overlap + step), first), last)
+        end = _boundary(text, target, max(first, target - move), min(last, target + move))
+        out.append((start, end))
+        start, left = _start(text, end, overlap, slack), left - 1
+    return [*out, (start, n)]
 
 
 def _start(text: str, end: int, overlap: int, slack: int) -> int:
@@ -91,24 +99,17 @@ def _start(text: str, end: int, overlap: int, slack: int) -> int:
     at = end - overlap
     if not overlap or not slack:
         return at
-    return _boundary(text, at, at, min(at + slack, end))
-
-
-def _plain(n: int, limit: int, overlap: int) -> list[tuple[int, int]]:
-    out, start = [], 0
-    while True:
-        end = min(n, start + limit)
-        out.append((start, end))
-        if end == n:
-            return out
-        start = end - overlap
+    return _boundary(text, at, at, min(at + slack, end), back=False)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def piece_spans(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """``spans`` as an expression: array<struct<start, stop>>. Only texts over the limit go to Python; null gives null."""
+    """``spans`` as an expression: array<struct<start, stop>>. Only texts over the limit go to Python; null gives null.
+
+    The function counts as not deterministic, so that a filter on its result does not make it run twice.
+    """
 
     @F.arrow_udf("array<struct<start:int,stop:int>>")
     def cut(texts: pa.Array) -> pa.Array:
@@ -116,7 +117,7 @@ def piece_spans(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Col
         return pa.array(cuts, _SPANS)
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("stop")))
-    return F.when(text.isNotNull(), F.coalesce(cut(F.when(F.length(text) > limit, text)), whole))
+    return F.when(text.isNotNull(), F.coalesce(cut.asNondeterministic()(F.when(F.length(text) > limit, text)), whole))
 
 
 def split_texts(df: DataFrame, column: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankloom.llm.splitting import spans, split_texts
+from rankloom.llm.splitting import spans, split_texts, within_character
 
 
 def check(text, limit, overlap, slack=40):
@@ -63,3 +63,37 @@ def test_rows(spark):
     assert len(own) == 2 * own[0]["pieces"]
     assert all(len(r["piece_text"]) <= 2000 and r["piece_text"] == long[r["start"] : r["stop"]] for r in own)
     assert split_texts(df.limit(0), "text").count() == 0
+
+
+def test_no_piece_begins_or_ends_within_a_character():
+    family, flag, tone = "\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f1ea\U0001f1f8", "\U0001f44d\U0001f3fd"
+    for unit in ("a\u0301\u0323", family, flag, tone, "❤\ufe0f"):
+        text = unit * (9000 // len(unit))
+        cuts = check(text, 2000, 200)
+        assert all(a % len(unit) == 0 and (b % len(unit) == 0) for a, b in cuts)
+    assert not within_character(flag * 2, 2) and within_character(flag * 2, 3) and within_character("a\r\n", 2) and not within_character("ab", 1)
+
+
+def test_tiny_limits_still_cut_at_boundaries():
+    cuts = check("ab cd ef gh ij kl", 4, 1)
+    assert all(text_end == " " for text_end in ("ab cd ef gh ij kl"[b - 1] for _, b in cuts[:-1]))
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    rng = random.Random(3)
+    text = "".join(rng.choice(["casa ", "río ", "monte. ", "x" * 90, "agua,\n"]) for _ in range(500_000))
+    began = time.perf_counter()
+    cuts = check(text, 2000, 200)
+    taken = time.perf_counter() - began
+    began = time.perf_counter()
+    check(text[: len(text) // 8], 2000, 200)
+    assert taken < 16 * (time.perf_counter() - began) + 0.5
+    assert len(cuts) <= 1.1 * (len(text) - 200) / 1800
+
+
+def test_the_function_runs_once(spark):
+    df = spark.createDataFrame([(1, "palabra " * 600)], "id int, text string")
+    plan = split_texts(df, "text").where("pieces > 1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
