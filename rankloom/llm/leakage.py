@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.tasks import spread
 from rankloom.llm.words import gram_hashes, word_hashes, words
-from rankloom.session import cut_lineage, spread
+from rankloom.session import cut_lineage
 
 K = 5
 WINDOW = 2
@@ -38,6 +40,10 @@ PART = 8
 SKIP = 4
 #: Most words of all test items that are sent to every task; beyond it, fingerprints are joined by a shuffle.
 MAX_ITEM_WORDS = 2_000_000
+#: Parts that the documents of one fingerprint, or of one item, are cut into for the shuffles; the items' side is repeated for each.
+PARTS = 16
+#: Wordings that a task keeps prepared.
+PREPARED = 1000
 
 
 def winnow(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -302,13 +308,25 @@ def _tables(items: Items) -> tuple[dict[int, list[tuple[int, int]]], list[int],
     return dict(table), sorted({len(w) for w in items.words if len(w) < items.k}), np.sort(np.fromiter(table, np.uint64, len(table)))
 
 
+_BUILT: dict[tuple, tuple] = {}
+
+
+def _built(mark: tuple, listed: list[tuple[int, str]], k: int, window: int) -> tuple[Items, tuple]:
+    """The items and their tables, made once in each worker for one test set."""
+    if mark not in _BUILT:
+        _BUILT.clear()
+        items = Items(listed, k, window)
+        _BUILT[mark] = items, _tables(items)
+    return _BUILT[mark]
+
+
 def _joined_in_tasks(rows: DataFrame, listed: list[tuple[int, str]], k: int, window: int, doc_key: str, item_key: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(listed)
+    mark = (xxhash.xxh128_hexdigest("\0".join(f"{i} {t}" for i, t in sorted(listed)).encode("utf-8", "surrogatepass")), k, window)
     schema = pa.schema([(doc_key, pa.int64()), (item_key, pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value, k, window)
-        tables = _tables(items)
+        items, tables = _built(mark, shared.value, k, window)
         for batch in batches:
             docs, found = [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -341,19 +359,27 @@ def _joined_by_shuffle(rows: DataFrame, items: DataFrame, k: int, window: int, d
     stock = notices.join(often, "fingerprint").groupBy("wording").agg(F.collect_set("fingerprint").alias("stock"))
     told = test.join(stock, "wording", "left")
 
+    # A fingerprint or an item that a third of all documents have is shared by PARTS tasks.
+    part = F.pmod(F.shiftright("key", 32), F.lit(PARTS).cast("bigint")).alias("part")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).alias("part")
     doc_marks = spread(rows).select(F.xxhash64("key", "text").alias("key"), "text").mapInArrow(_hashed(k, window, short), "key bigint, length int, fingerprint bigint")
-    pairs = doc_marks.join(plain.mapInArrow(_grams(None, k), kinds), ["length", "fingerprint"]).select("key", "wording").distinct()
+    pairs = doc_marks.select("*", part).join(plain.mapInArrow(_grams(None, k), kinds).select("*", every), ["length", "fingerprint", "part"]).select("key", "wording").distinct()
     texts = rows.select(F.xxhash64("key", "text").alias("mark"), F.col("key").alias("doc"), "text").distinct()
-    work = pairs.join(texts, pairs["key"] == F.col("mark")).join(told, "wording").select("doc", "text", "words", "ids", "stock")
+    work = pairs.join(texts, pairs["key"] == F.col("mark")).select("*", part).join(told.select("*", every), ["wording", "part"]).select("wording", "doc", "text", "words", "ids", "stock")
     schema = pa.schema([(doc_key, pa.int64()), (item_key, pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prepared: dict[str, tuple] = {}
         for batch in batches:
             docs, found = [], []
             for row in batch.to_pylist():
-                often = set(np.array(row["stock"] or [], np.int64).view(np.uint64).tolist())
-                one = Items([(0, row["words"])], k, window, common.value, often)
-                if _in_text(one, *_tables(one), row["text"]):
+                if row["wording"] not in prepared:
+                    often = set(np.array(row["stock"] or [], np.int64).view(np.uint64).tolist())
+                    one = Items([(0, row["words"])], k, window, common.value, often)
+                    if len(prepared) >= PREPARED:
+                        prepared.clear()
+                    prepared[row["wording"]] = one, *_tables(one)
+                if _in_text(*prepared[row["wording"]], row["text"]):
                     docs += [row["doc"]] * len(row["ids"])
                     found += row["ids"]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], schema=schema)
