@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import spread
+from rankloom.llm.tasks import spread
 
 #: Most states and most cached words of a worker; beyond it they are dropped and built anew. The result does not depend on it.
 MAX_STATES = 50_000
@@ -116,21 +116,29 @@ class Transducer:
             same += 1
         out = here[1:same]
         following = tuple((node, path[same - 1 :]) for node, path in going)
-        known = self.number.get(following)
+        self.moves[state][byte] = move = (self._add(following), out)
+        return move
+
+    def _add(self, state: tuple) -> int:
+        """The number of a state, a new one if need be."""
+        known = self.number.get(state)
         if known is None:
-            known = self.number[following] = len(self.states)
-            self.states.append(following)
+            known = self.number[state] = len(self.states)
+            self.states.append(state)
             self.moves.append({})
-        self.moves[state][byte] = move = (known, out)
-        return move
+        return known
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one word, read byte by byte."""
-        if len(self.states) > self.max_states:
-            self._reset()
         state, out, moves = 0, [], self.moves
         for byte in word:
-            move = moves[state].get(byte) or self._step(state, byte)
+            move = moves[state].get(byte)
+            if move is None:
+                if len(self.states) > self.max_states:  # within a long word: go on from the state in hand
+                    here = self.states[state]
+                    self._reset()
+                    moves, state = self.moves, self._add(here)
+                move = self._step(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -61,3 +63,12 @@ def test_rows(spark):
     back = tokens.decode_ids(tokens.encode_texts(df, "text"), "ids").orderBy("id").collect()
     assert [r["text"] for r in back] == ["", "", "hola", "hola"]
     assert tokens.encode_texts(df.limit(0), "text").count() == 0
+
+
+def test_states_are_bounded_within_a_word():
+    rng = random.Random(8)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)).encode()
+    ranks = tokens.load_ranks(tokens.vocabulary_path())
+    small, whole = tokens.Transducer(ranks, max_states=500), tokens.Transducer(ranks)
+    assert small.encode_word(word) == whole.encode_word(word)
+    assert len(small.states) <= 502
