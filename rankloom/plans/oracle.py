@@ -22,7 +22,7 @@ _CTES = {
     "pruned": "SELECT * FROM qr WHERE doc_id IN (SELECT doc_id FROM kept)",
     "qtexts": "SELECT query_id, text FROM (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY issued_at DESC NULLS LAST, text DESC) AS n FROM queries WHERE query_id IS NOT NULL AND text IS NOT NULL) WHERE n = 1",
     "clean": "SELECT model, query_id, doc_id, max(score) AS score FROM retrieval_run WHERE model IS NOT NULL AND query_id IS NOT NULL AND doc_id IS NOT NULL AND score IS NOT NULL AND isfinite(score) GROUP BY ALL",
-    "run": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM clean) WHERE rank <= 100",
+    "run": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM clean)",
     "normed": "SELECT *, (score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-9) AS norm FROM run WINDOW w AS (PARTITION BY model, query_id)",
     "fused": "SELECT query_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS rrf, round(sum(0.05::DOUBLE * pow(0.95::DOUBLE, rank - 1)), 9) AS rbc, round(count(*) * sum(1::DOUBLE / (rank * rank)), 9) AS isr, round(count(*) * sum(norm), 9) AS mnz FROM normed GROUP BY ALL",
     "lexico": "SELECT query_id, doc_id, rank, t.text AS query_text, coalesce(full_text, '') AS doc_text FROM run JOIN qtexts t USING (query_id) LEFT JOIN docs USING (doc_id) WHERE model = 'lexico'",
@@ -153,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "fuse_all": _with(["fused"], "SELECT * FROM fused"),
         "fuse_rbc_phi_sweep": _with(["run", "qr"], f"SELECT phi, {_MEANS} FROM scores GROUP BY phi", _per_query(f"SELECT phi, query_id, doc_id, rank FROM ({_ranked(sweep, 'phi, query_id')})", "phi", "qr")),
         "fuse_grid_metrics": _with(["normed", "qr"], f"SELECT combo, strategy, params, {_MEANS} FROM scores GROUP BY ALL", [*grid, *_per_query("SELECT combo, strategy, params, query_id, doc_id, rank FROM melted", "combo, strategy, params", "qr")]),
-        "fuse_grid": _with(["normed"], "SELECT combo, strategy, params, query_id, doc_id, score, CAST(rank AS INT) AS rank FROM melted", [("m", "SELECT DISTINCT model FROM retrieval_run WHERE model IS NOT NULL ORDER BY model LIMIT 3"), ("c", pairs_and_triples), *grid[2:]]),
+        "fuse_grid": _with(["normed"], "SELECT combo, strategy, params, query_id, doc_id, score, CAST(rank AS INT) AS rank FROM melted", [("m", "SELECT DISTINCT model FROM retrieval_run WHERE model IS NOT NULL"), ("c", pairs_and_triples), *grid[2:]]),
         "fuse_combinations": "WITH m AS (SELECT DISTINCT model FROM retrieval_run WHERE model IS NOT NULL) SELECT combo, size, unnest(l) AS model FROM (SELECT a.model || '+' || b.model || '+' || c.model AS combo, 3::INT AS size, [a.model, b.model, c.model] AS l FROM m a, m b, m c WHERE a.model < b.model AND b.model < c.model UNION ALL SELECT a.model || '+' || b.model, 2::INT, [a.model, b.model] FROM m a, m b WHERE a.model < b.model)",
         "corpus_format_count": _with(["counted"], "SELECT docid, full_text, word_count FROM counted"),
         "corpus_wordcount_filter": _with(["counted"], "SELECT docid, word_count FROM counted WHERE word_count <= 400"),

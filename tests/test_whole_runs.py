@@ -8,13 +8,12 @@ import pytest
 
 from rankloom.operators import fusion, runs
 from rankloom.plans import oracle as sql
-from rankloom.plans import queries as core
-from tests.oracle import connection, rows_of_spark, rows_of_sql
 
 SCHEMA = "model string, query_id string, doc_id string, score double"
-CUT = sql._CTES["run"]
-WHOLE = CUT.removesuffix(" WHERE rank <= 100")
-QUERIES, SQL = core.queries(), sql.oracle_sql()
+
+
+def test_the_sql_is_of_whole_runs():
+    assert "LIMIT" not in sql.oracle_sql()["fuse_grid"] and "rank <= 100" not in sql._CTES["run"]
 
 
 def test_a_stored_run_is_not_cut(spark):
@@ -33,15 +32,6 @@ def test_ranks_beyond_the_root_of_an_int(spark):
     assert last["isr"].where("doc_id = 'd49999'").first()["score"] == round(1 / 50_000**2, 9)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in SQL if CUT in SQL[n] and n != "fuse_grid"))
-def test_query_against_uncut_sql(spark, data, name):
-    assert WHOLE != CUT
-    names, expected = rows_of_sql(connection(data), SQL[name].replace(CUT, WHOLE))
-    df = QUERIES[name](spark, data)
-    assert sorted(df.columns) == names
-    assert rows_of_spark(df) == expected
-
-
 @pytest.mark.parametrize("block", [1, 7, 1000])
 def test_condorcet_in_blocks_against_brute_force(spark, block):
     rng = random.Random(3)
