@@ -20,12 +20,24 @@ def _ideal(qrels: DataFrame, depth: int = 10) -> DataFrame:
     return qrels.withColumn("place", place).groupBy("query_id").agg(F.sum(F.when(F.col("relevance") > 0, 1).otherwise(0)).alias("relevant"), F.sum(gain).alias("ideal"))
 
 
+#: Parts that lists are dealt to, so that lists and judged queries meet in an equi-join.
+LIST_PARTS = 16
+
+
+def _each_list(base: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of ``base`` (judged queries) for every list, which is what comes out of it in the end. Neither side is broadcast
+    unless Catalyst knows it to be small."""
+    every = base.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(LIST_PARTS - 1))))
+    return every.join(lists.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(LIST_PARTS)).cast("int")), "__part").drop("__part")
+
+
 def per_query(run: DataFrame, qrels: DataFrame, keys: Sequence[str] = ("model",), lists: DataFrame | None = None) -> DataFrame:
     """(keys..., query_id and the six metrics) for every query of the judgements and every list of the run.
 
     A query that a list lacks scores 0 on all metrics; queries without judgements don't count; a query of which no document
-    is relevant scores 0. ``lists`` names the lists (keys...) where the run has only the judged rows of them. Precision divides by its depth; MAP goes over the whole list. The judgements are joined to the run
-    before anything else, so only hits are shuffled.
+    is relevant scores 0. ``lists`` names the lists (keys...); without it they are taken from the run, which is then read twice.
+    Precision divides by its depth; MAP goes over the whole list. The judgements are joined to the run before anything else, so
+    only hits are shuffled.
     """
     keys = list(keys)
     hits = run.select(*keys, "query_id", "doc_id", "rank").join(qrels.where("relevance > 0"), ["query_id", "doc_id"])
@@ -38,8 +50,7 @@ def per_query(run: DataFrame, qrels: DataFrame, keys: Sequence[str] = ("model",)
         at(10).alias("h10"), at(50).alias("h50"),
     )
     lists = run.select(*keys).distinct() if lists is None else lists
-    base = _ideal(qrels).crossJoin(F.broadcast(lists))  # a handful of lists
-    return base.join(sums, [*keys, "query_id"], "left").select(
+    return _each_list(_ideal(qrels), lists, keys).join(sums, [*keys, "query_id"], "left").select(
         *keys, "query_id",
         *(F.round(F.coalesce(x, F.lit(0.0)), DIGITS).alias(n) for x, n in (
             (F.try_divide(F.col("dcg"), F.col("ideal")), "ndcg_10"), (F.try_divide(F.col("h100"), F.col("relevant")), "recall_100"), (1.0 / F.col("first"), "mrr_10"),

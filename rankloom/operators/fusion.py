@@ -22,6 +22,8 @@ from rankloom.schema import STRATEGIES, FusionStrategy
 from rankloom.session import shuffle_partitions, small_table
 
 DIGITS = 9
+#: Added before scores are rounded, so that halves go up whatever the order of the sums was.
+HALF = 1e-12
 
 
 def _square(rank: Column) -> Column:
@@ -44,7 +46,7 @@ def score_expr(method: str, params: dict[str, float] | None = None) -> Column:
         score = F.count(F.lit(1)) * F.sum(1.0 / _square(rank))
     else:
         raise ValueError(f"no aggregate for {method}")
-    return F.round(score, DIGITS)
+    return F.round(score + HALF, DIGITS)
 
 
 def fuse(run: DataFrame, method: str, params: dict[str, float] | None = None) -> DataFrame:
@@ -79,15 +81,20 @@ def phi_sweep(run: DataFrame, phis: Sequence[float]) -> DataFrame:
 
 def borda_scores(run: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): a run gives its documents as many points as candidates stand at or below them, and each
-    other candidate the mean of the points that are left."""
-    length = run.groupBy("model", "query_id").agg(F.count("*").alias("n"))
-    # Of each query: the number of its candidates, and for every run what it leaves to a candidate that it lacks.
-    candidates = run.groupBy("query_id").agg(F.countDistinct("doc_id").alias("c"))
-    left = length.join(candidates, "query_id").groupBy("query_id", "c").agg(F.sum((F.col("c") - F.col("n") + 1) / 2.0).alias("all_left"))
-    own = run.join(length, ["model", "query_id"]).join(candidates, "query_id")
-    points = (F.col("c") - F.col("rank") + 1) - (F.col("c") - F.col("n") + 1) / 2.0
-    given = own.groupBy("query_id", "doc_id").agg(F.sum(points).alias("points"))
-    return given.join(left, "query_id").select("query_id", "doc_id", F.round(F.col("points") + F.col("all_left"), DIGITS).alias("score"))
+    other candidate the mean of the points that are left.
+
+    With c candidates and runs of n documents, a run that has the document gives c - rank + 1 instead of the mean (c - n + 1) / 2
+    that it gives to others. So a document's points are half of (own runs + all runs) x c, and sums over its own rows and over
+    its query: c is the number of the query's documents, its runs are those with a first rank, and their lengths add up to its rows.
+    """
+    length = F.count(F.lit(1)).over(Window.partitionBy("model", "query_id"))
+    own = run.withColumn("n", length).groupBy("query_id", "doc_id").agg(
+        F.count(F.lit(1)).alias("has"), F.count_if(F.col("rank") == 1).alias("firsts"), F.sum((F.col("n") + 1) / 2.0 - F.col("rank")).alias("above")
+    )
+    query = Window.partitionBy("query_id")
+    c, runs, rows = F.count(F.lit(1)).over(query), F.sum("firsts").over(query), F.sum("has").over(query)
+    score = (F.col("has") + runs) * c / 2.0 + F.col("above") + (runs - rows) / 2.0
+    return own.select("query_id", "doc_id", F.round(score, DIGITS).alias("score"))
 
 
 _WINS = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())])
@@ -146,8 +153,8 @@ def combinations(spark: SparkSession, models: Sequence[str], smallest: int, larg
     return small_table(spark, rows, "combo string, size int, model string")
 
 
-#: Most judged rows, over all combinations, that are broadcast; beyond it they are joined by a shuffle.
-MAX_JUDGED = 2_000_000
+#: Queries with a longest list beyond this are scored in blocks of about so many candidates.
+GRID_BLOCK = 100_000
 GRID = tuple(STRATEGIES[s] for s in ("combmnz", "rbc", "rrf", "isr"))
 
 
@@ -193,7 +200,7 @@ def _each_choice(wide: DataFrame, models: Sequence[str], combos: Sequence[tuple[
 
     def score(n: int, strategy: FusionStrategy) -> Column:
         total = functools.reduce(operator.add, [F.coalesce(F.get(f"p{n}", i), F.lit(0.0)) for i in at])
-        return F.round(total * F.col("has") if strategy.method in ("mnz", "combmnz", "isr") else total, DIGITS)
+        return F.round((total * F.col("has") if strategy.method in ("mnz", "combmnz", "isr") else total) + HALF, DIGITS)
 
     return rows.select("x.combo", "query_id", "doc_id", *(score(n, s).alias(f"s{n}") for n, s in enumerate(strategies)))
 
@@ -212,24 +219,89 @@ def fusion_grid(run: DataFrame, combos: Sequence[tuple[str, ...]], strategies: S
     return melted.withColumn("rank", F.row_number().over(order))
 
 
-def judged_grid(run: DataFrame, qrels: DataFrame, combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy] = GRID) -> DataFrame:
+def judged_grid(run: DataFrame, qrels: DataFrame, combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy] = GRID, block: int = GRID_BLOCK) -> DataFrame:
     """The rows of ``fusion_grid`` that are judged relevant, (combo, strategy, params, query_id, doc_id, rank): all that metrics need.
 
     A judged document's rank is one more than the number of candidates that are above it, which is counted; no list is
-    sorted. Judged rows, a few for each query, are broadcast if they are at most ``MAX_JUDGED``.
+    sorted. The candidates of a judged query are scored in one vectorised call, those of a query with more than ``block`` in
+    blocks, to each of which its few judged documents are sent; the counts are added up.
     """
     models = sorted({m for c in combos for m in c})
     relevant = qrels.where("relevance > 0").select("query_id", "doc_id").distinct()
-    wide = _wide(run.join(relevant.select("query_id"), "query_id", "left_semi"), models, strategies)
-    everyone = _each_choice(wide, models, combos, strategies)
-    own = _each_choice(wide.join(relevant, ["query_id", "doc_id"]), models, combos, strategies)
-    own = own.select("combo", "query_id", F.col("doc_id").alias("judged"), *(F.col(f"s{i}").alias(f"j{i}") for i in range(len(strategies))))
-    if relevant.count() * len(combos) <= MAX_JUDGED:
-        own = F.broadcast(own)
-    above = lambda i: (F.col(f"s{i}") > F.col(f"j{i}")) | ((F.col(f"s{i}") == F.col(f"j{i}")) & (F.col("doc_id") < F.col("judged")))
-    ranks = everyone.join(own, ["combo", "query_id"]).groupBy("combo", "query_id", "judged").agg(*((F.count_if(above(i)) + 1).cast("int").alias(f"k{i}") for i in range(len(strategies))))
-    each = F.array(*[F.struct(F.lit(s.method).alias("strategy"), F.lit(format_params(s.params)).alias("params"), F.col(f"k{i}").alias("rank")) for i, s in enumerate(strategies)])
-    return ranks.select("combo", "query_id", F.col("judged").alias("doc_id"), F.explode(each).alias("x")).select("combo", "x.strategy", "x.params", "query_id", "doc_id", "x.rank")
+    own = run.where(F.col("model").isin(models)).join(relevant.select("query_id"), "query_id", "left_semi")
+    long = own.groupBy("query_id").agg(F.max("rank").alias("longest")).where(F.col("longest") > block)
+    blocks = F.broadcast(long.select("query_id", F.ceil(F.col("longest") / block).cast("int").alias("blocks")))  # fewer than rows / block
+    one = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+    wide = minmax(own).groupBy("query_id", "doc_id").agg(F.array(*[one(m, "rank") for m in models]).alias("r"), F.array(*[one(m, "norm") for m in models]).alias("n"))
+    wide = wide.join(relevant.withColumn("judged", F.lit(True)), ["query_id", "doc_id"], "left").join(blocks, "query_id", "left")
+    home = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    every = F.when(F.col("judged"), F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array(F.col("home")))
+    placed = wide.withColumn("home", home).select("query_id", "doc_id", "r", "n", F.coalesce("judged", F.lit(False)).alias("judged"), "home", F.explode(every).alias("block"))
+    above = placed.groupBy("query_id", "block").applyInArrow(_above_judged(models, combos, strategies), "combo int, strategy int, query_id string, doc_id string, above bigint")
+    ranks = above.groupBy("combo", "strategy", "query_id", "doc_id").agg((F.sum("above") + 1).cast("int").alias("rank"))
+    name = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(c) + 1)
+    return ranks.select(
+        name(["+".join(c) for c in combos], "combo").alias("combo"), name([s.method for s in strategies], "strategy").alias("strategy"),
+        name([format_params(s.params) for s in strategies], "strategy").alias("params"), "query_id", "doc_id", "rank",
+    )
+
+
+_ABOVE = pa.schema([("combo", pa.int32()), ("strategy", pa.int32()), ("query_id", pa.string()), ("doc_id", pa.string()), ("above", pa.int64())])
+
+
+def _given(strategy: FusionStrategy, rank: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """What each run (a column) gives each candidate (a row) under a strategy; ranks and norms are not-a-number where it lacks it."""
+    params = strategy.params or {}
+    if strategy.method == "rrf":
+        return 1.0 / (float(params.get("k", 60)) + rank)
+    if strategy.method == "rbc":
+        phi = float(params.get("phi", 0.95))
+        return (1.0 - phi) * phi ** (rank - 1)
+    if strategy.method in ("mnz", "combmnz"):
+        return norm
+    if strategy.method == "isr":
+        return 1.0 / rank**2
+    raise ValueError(f"{strategy.method} is no sum over runs")
+
+
+def _above_judged(models: Sequence[str], combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy]):  # noqa: ANN202
+    """For each combination, strategy and judged document, how many candidates of a block are above it in the fused list."""
+    place = {m: i for i, m in enumerate(models)}
+
+    def run(rows: pa.Table) -> pa.Table:
+        matrix = lambda c: rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, len(models))
+        rank, norm = matrix("r"), matrix("n")
+        ids = np.array(rows["doc_id"].to_pylist(), dtype=object)
+        judged, own = rows["judged"].to_numpy(), rows["home"].to_numpy() == rows["block"][0].as_py()
+        asked = np.flatnonzero(judged)
+        if not len(asked):
+            return _ABOVE.empty_table()
+        by_id = np.empty(len(ids), np.int64)
+        by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        parts = [np.nan_to_num(_given(s, rank, norm)) for s in strategies]
+        has = ~np.isnan(rank)
+        out: list[tuple] = []
+        for c, combo in enumerate(combos):
+            at = [place[m] for m in combo]
+            runs = has[:, at].sum(1)
+            among = own & (runs > 0)
+            for n, strategy in enumerate(strategies):
+                total = functools.reduce(operator.add, [parts[n][:, i] for i in at])
+                score = _rounded(total * runs if strategy.method in ("mnz", "combmnz", "isr") else total)
+                for j in asked[runs[asked] > 0].tolist():
+                    better = (score > score[j]) | ((score == score[j]) & (by_id < by_id[j]))
+                    out.append((c, n, ids[j], int((better & among).sum())))
+        if not out:
+            return _ABOVE.empty_table()
+        c, n, docs, above = zip(*out, strict=True)
+        return pa.table([pa.array(c, pa.int32()), pa.array(n, pa.int32()), pa.array([rows["query_id"][0].as_py()] * len(out), pa.string()), pa.array(docs, pa.string()), pa.array(above, pa.int64())], schema=_ABOVE)
+
+    return run
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """To DIGITS digits, halves away from zero as Spark's ``round`` has it; scores are not negative."""
+    return np.floor((score + HALF) * 10.0**DIGITS + 0.5) / 10.0**DIGITS
 
 
 def grid_lists(spark: SparkSession, combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy] = GRID) -> DataFrame:

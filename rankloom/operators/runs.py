@@ -13,9 +13,18 @@ def clean_run(df: DataFrame) -> DataFrame:
 
     Rows with a null id or model, or a null, not-a-number or infinite score are dropped; stored ranks are ignored.
     """
+    return _sound(df).groupBy("model", "query_id", "doc_id").agg(F.max("score").alias("score"))
+
+
+def _sound(df: DataFrame) -> DataFrame:
     ids = [F.col(c).cast("string").alias(c) for c in ("model", "query_id", "doc_id")]
     rows = df.select(*ids, F.col("score").cast("double").alias("score")).dropna()
-    return rows.where(~F.isnan("score") & (F.abs("score") < float("inf"))).groupBy("model", "query_id", "doc_id").agg(F.max("score").alias("score"))
+    return rows.where(~F.isnan("score") & (F.abs("score") < float("inf")))
+
+
+def models_of(df: DataFrame) -> DataFrame:
+    """(model): the models of a stored run that have any sound row; few, and found without ranking the run."""
+    return _sound(df).select("model").distinct()
 
 
 def rank_run(df: DataFrame, k: int | None = TOP_K, keys: tuple[str, ...] = ("model", "query_id"), item: str = "doc_id", score: str = "score") -> DataFrame:

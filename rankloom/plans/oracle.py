@@ -24,7 +24,7 @@ _CTES = {
     "clean": "SELECT model, query_id, doc_id, max(score) AS score FROM retrieval_run WHERE model IS NOT NULL AND query_id IS NOT NULL AND doc_id IS NOT NULL AND score IS NOT NULL AND isfinite(score) GROUP BY ALL",
     "run": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM clean)",
     "normed": "SELECT *, (score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-9) AS norm FROM run WINDOW w AS (PARTITION BY model, query_id)",
-    "fused": "SELECT query_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS rrf, round(sum(0.05::DOUBLE * pow(0.95::DOUBLE, rank - 1)), 9) AS rbc, round(count(*) * sum(1::DOUBLE / (rank * rank)), 9) AS isr, round(count(*) * sum(norm), 9) AS mnz FROM normed GROUP BY ALL",
+    "fused": "SELECT query_id, doc_id, round(sum(1::DOUBLE / (60 + rank)) + 1e-12, 9) AS rrf, round(sum(0.05::DOUBLE * pow(0.95::DOUBLE, rank - 1)) + 1e-12, 9) AS rbc, round(count(*) * sum(1::DOUBLE / (rank * rank)) + 1e-12, 9) AS isr, round(count(*) * sum(norm) + 1e-12, 9) AS mnz FROM normed GROUP BY ALL",
     "lexico": "SELECT query_id, doc_id, rank, t.text AS query_text, coalesce(full_text, '') AS doc_text FROM run JOIN qtexts t USING (query_id) LEFT JOIN docs USING (doc_id) WHERE model = 'lexico'",
 }
 _NEEDS = {
@@ -114,11 +114,11 @@ def oracle_sql() -> dict[str, str]:
     grid = [
         ("m", "SELECT DISTINCT model FROM retrieval_run WHERE model IS NOT NULL"),
         ("c", "SELECT a.model || '+' || b.model || '+' || c.model AS combo, unnest([a.model, b.model, c.model]) AS model FROM m a, m b, m c WHERE a.model < b.model AND b.model < c.model"),
-        ("wide", "SELECT combo, query_id, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS rrf, round(sum(0.05::DOUBLE * pow(0.95::DOUBLE, rank - 1)), 9) AS rbc, round(count(*) * sum(1::DOUBLE / (rank * rank)), 9) AS isr, round(count(*) * sum(norm), 9) AS mnz FROM normed JOIN c USING (model) GROUP BY ALL"),
+        ("wide", "SELECT combo, query_id, doc_id, round(sum(1::DOUBLE / (60 + rank)) + 1e-12, 9) AS rrf, round(sum(0.05::DOUBLE * pow(0.95::DOUBLE, rank - 1)) + 1e-12, 9) AS rbc, round(count(*) * sum(1::DOUBLE / (rank * rank)) + 1e-12, 9) AS isr, round(count(*) * sum(norm) + 1e-12, 9) AS mnz FROM normed JOIN c USING (model) GROUP BY ALL"),
         ("melted", f"SELECT *, row_number() OVER (PARTITION BY combo, strategy, params, query_id ORDER BY score DESC, doc_id) AS rank FROM ({grid_scores})"),
     ]
     pairs_and_triples = "SELECT combo, unnest(l) AS model FROM (SELECT a.model || '+' || b.model || '+' || c.model AS combo, [a.model, b.model, c.model] AS l FROM m a, m b, m c WHERE a.model < b.model AND b.model < c.model UNION ALL SELECT a.model || '+' || b.model, [a.model, b.model] FROM m a, m b WHERE a.model < b.model)"
-    sweep = " UNION ALL ".join(f"SELECT {p}::DOUBLE AS phi, query_id, doc_id, round(sum((1 - {p}::DOUBLE) * pow({p}::DOUBLE, rank - 1)), 9) AS score FROM run GROUP BY query_id, doc_id" for p in (0.8, 0.9, 0.95, 0.98))
+    sweep = " UNION ALL ".join(f"SELECT {p}::DOUBLE AS phi, query_id, doc_id, round(sum((1 - {p}::DOUBLE) * pow({p}::DOUBLE, rank - 1)) + 1e-12, 9) AS score FROM run GROUP BY query_id, doc_id" for p in (0.8, 0.9, 0.95, 0.98))
     borda = [
         ("len", "SELECT model, query_id, count(*) AS n FROM run GROUP BY ALL"), ("cand", "SELECT DISTINCT query_id, doc_id FROM run"), ("c", "SELECT query_id, count(*) AS c FROM cand GROUP BY ALL"),
         ("s", "SELECT cand.query_id, cand.doc_id, round(sum(coalesce(c - rank + 1, (c - n + 1) / 2::DOUBLE)), 9) AS score FROM cand JOIN c USING (query_id) JOIN len USING (query_id) LEFT JOIN run ON run.model = len.model AND run.query_id = cand.query_id AND run.doc_id = cand.doc_id GROUP BY ALL"),

@@ -12,7 +12,7 @@ from rankloom.functions.text import light_stem_es, snippet
 from rankloom.functions.vector import sound, split_vector
 from rankloom.operators import corpus, encode, evaluate, fusion, qrels, rerank, retrieve, runs, stats
 from rankloom.schema import STRATEGIES, strategy_table
-from rankloom.session import ship_package
+from rankloom.session import ship_package, small_table
 from rankloom.sources.tables import read_table
 
 MAX_WORDS = 400
@@ -36,6 +36,10 @@ def _run(spark: SparkSession, d: str) -> DataFrame:
     return runs.prepare_run(read_table(spark, d, "retrieval_run", "model", "query_id", "doc_id", "score"))
 
 
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    return runs.models_of(read_table(spark, d, "retrieval_run", "model", "query_id", "doc_id", "score"))
+
+
 def _models(spark: SparkSession, d: str) -> list[str]:
     return [r[0] for r in read_table(spark, d, "retrieval_run", "model").where("model IS NOT NULL").distinct().orderBy("model").collect()]
 
@@ -163,7 +167,7 @@ def fuse_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuse_rbc_phi_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.evaluate(fusion.phi_sweep(_run(spark, d), PHIS), _qrels(spark, d), ("phi",))
+    return evaluate.evaluate(fusion.phi_sweep(_run(spark, d), PHIS), _qrels(spark, d), ("phi",), small_table(spark, [(p,) for p in PHIS], "phi double"))
 
 
 def fuse_grid_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -183,20 +187,20 @@ def fuse_combinations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_per_query(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.per_query(_run(spark, d), _qrels(spark, d))
+    return evaluate.per_query(_run(spark, d), _qrels(spark, d), lists=_lists(spark, d))
 
 
 def eval_run(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.evaluate(_run(spark, d), _qrels(spark, d))
+    return evaluate.evaluate(_run(spark, d), _qrels(spark, d), lists=_lists(spark, d))
 
 
 def eval_fused(spark: SparkSession, d: str) -> DataFrame:
     fused = fusion.fuse(_run(spark, d), "rrf", {"k": 60}).withColumn("model", F.lit("rrf"))
-    return evaluate.evaluate(fused, _qrels(spark, d))
+    return evaluate.evaluate(fused, _qrels(spark, d), lists=small_table(spark, [("rrf",)], "model string"))
 
 
 def eval_graded_ndcg(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.evaluate(_run(spark, d), qrels_graded(spark, d)).select("model", "ndcg_10")
+    return evaluate.evaluate(_run(spark, d), qrels_graded(spark, d), lists=_lists(spark, d)).select("model", "ndcg_10")
 
 
 def eval_paired_t(spark: SparkSession, d: str) -> DataFrame:
