@@ -1,28 +1,32 @@
 """First-stage retrieval: exact dense search, BM25 over an inverted index, learned-sparse dot products.
 
 Dense and sparse search score blocks of documents against blocks of queries, both of bounded size, and hand on the best k of
-each block only: no row is written for a pair of a query and a document, and no side is broadcast.
+each block only: no row is written for a pair of a query and a document. Text search goes over documents as they are or over a
+stored index, of which it reads the buckets of the asked terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import analyze_es, tokens
 from rankloom.functions.vector import sound
 from rankloom.operators.runs import TOP_K, rank_run
-from rankloom.session import cut_lineage, shuffle_partitions
+from rankloom.session import cut_lineage, shuffle_partitions, small_table
+from rankloom.sources.store import is_complete
 
 DIGITS = 6
 #: Most documents and queries of a block.
 BLOCK = 16_384
 _PAIRS = pa.schema([("query_id", pa.string()), ("doc_id", pa.string()), ("score", pa.float64())])
+_POSTINGS_DDL = "term string, id string, tf bigint, dl bigint, bucket int"
 _PAIRS_DDL = "query_id string, doc_id string, score double"
 
 
@@ -67,7 +71,7 @@ def _dense_block(k: int):  # noqa: ANN202
     def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
         if not docs.num_rows or not queries.num_rows:
             return _PAIRS.empty_table()
-        matrix = lambda t: np.array(t["embedding"].to_pylist(), np.float64)
+        matrix = lambda t: t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
         d, q, ids = matrix(docs), matrix(queries), docs["id"].to_pylist()
         names, out = _places(ids), []
         for at in range(0, len(q), 1024):
@@ -86,11 +90,13 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, block: int =
     then be of one length. Repeated rows count once, an id with several vectors with its best. Scores are rounded to 6
     digits, ties go to the smaller id; with fewer than ``k`` documents all come out.
     """
-    pick = lambda df: df.where(F.col("id").isNotNull() & sound(F.col("embedding"))).select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).distinct()
+    pick = lambda df: df.where(F.col("id").isNotNull() & sound(F.col("embedding"))).select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
     queries, docs = pick(queries), pick(docs)
     cores = docs.sparkSession.sparkContext.defaultParallelism
     d_block, d_n = _blocks("id", docs.count(), block)
     q_block, q_n = _blocks("id", queries.count(), block, -(-cores // d_n))
+    once = lambda df: df.withColumn("mark", F.xxhash64("embedding")).dropDuplicates(["id", "mark"]).drop("mark")
+    queries, docs = once(queries), once(docs)
     left = docs.withColumn("d", d_block).withColumn("q", _every(q_n))
     right = queries.withColumn("q", q_block).withColumn("d", _every(d_n))
     local = _cogrouped(left, right, d_n * q_n, _dense_block(k))
@@ -120,7 +126,7 @@ def _sparse_block(k: int, positive: bool):  # noqa: ANN202
             scores, hit = np.zeros(len(names)), np.zeros(len(names), bool)
             for t, w in zip(q_term[a:b], q_weight[a:b], strict=True):
                 span = slice(begin[t], begin[t + 1])
-                np.add.at(scores, doc[span], w * weight[span])
+                scores[doc[span]] += w * weight[span]  # a document has a term once
                 hit[doc[span]] = True
             at = np.flatnonzero(hit)
             if not len(at):
@@ -140,6 +146,10 @@ def _sparse_block(k: int, positive: bool):  # noqa: ANN202
     return run
 
 
+def _added(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("string").alias("id"), "term", F.col("weight").cast("double").alias("weight")).dropna().groupBy("id", "term").agg(F.sum("weight").alias("weight"))
+
+
 def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, positive: bool = True, block: int = BLOCK, doc_count: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): for each query the ``k`` documents of highest sparse inner product.
 
@@ -147,17 +157,30 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, positive: b
     query may have fewer documents or none. Documents without a term of any query are left out before the shuffle. Rows with
     a null don't count. Scores are rounded to 6 digits, ties go to the smaller id.
     """
-    add = lambda df: df.select(F.col("id").cast("string").alias("id"), "term", F.col("weight").cast("double").alias("weight")).dropna().groupBy("id", "term").agg(F.sum("weight").alias("weight"))
-    queries = cut_lineage(add(queries))
-    docs = add(docs.join(queries.select("term").distinct(), "term", "left_semi"))
+    queries = _added(queries)
+    asked = queries.agg(F.countDistinct("id").alias("ids"), F.countDistinct("term").alias("terms")).first()
+    docs = _added(docs.join(_asked_terms(queries, asked["terms"]), "term", "left_semi"))
+    n = docs.agg(F.approx_count_distinct("id")).first()[0] if doc_count is None else doc_count
+    return _scored(queries, docs, asked["ids"], n, k, positive, block)
+
+
+#: Most terms of the queries that are broadcast to the documents; beyond it they meet in a shuffle.
+MAX_TERMS = 1_000_000
+
+
+def _asked_terms(queries: DataFrame, count: int) -> DataFrame:
+    terms = queries.select("term").distinct()
+    return F.broadcast(terms) if count <= MAX_TERMS else terms
+
+
+def _scored(queries: DataFrame, docs: DataFrame, query_count: int, doc_count: int, k: int, positive: bool, block: int) -> DataFrame:
+    """The search itself, over coordinates that are added up. The few terms of the queries are copied for each block of documents."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    ids = lambda df: df.agg(F.approx_count_distinct("id")).first()[0]
-    d_block, d_n = _blocks("id", ids(docs) if doc_count is None else doc_count, block)
-    q_block, q_n = _blocks("id", ids(queries), block, -(-cores // d_n))
+    q_block, q_n = _blocks("id", query_count, block)
+    d_block, d_n = _blocks("id", doc_count, block, -(-cores // q_n))
     left = docs.withColumn("d", d_block).withColumn("q", _every(q_n))
     right = queries.withColumn("q", q_block).withColumn("d", _every(d_n))
-    local = _cogrouped(left, right, d_n * q_n, _sparse_block(k, positive))
-    return rank_run(local, k, ("query_id",))
+    return rank_run(_cogrouped(left, right, d_n * q_n, _sparse_block(k, positive)), k, ("query_id",))
 
 
 def analyzed(text: Column, language: str | None = None) -> Column:
@@ -189,39 +212,110 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", query_text: str = "text", doc_text: str = "text", k: int = TOP_K, k1: float = 0.9, b: float = 0.4, language: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(query_id, doc_id, score, rank): BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+@dataclass(frozen=True)
+class Hits:
+    """What a search needs of an index: (id, term, tf, dl) of the asked terms, (term, df) of them, documents, and words of all."""
+
+    postings: DataFrame
+    terms: DataFrame
+    docs: int
+    words: int
 
-    The idf is put on the few terms of the queries and the saturated frequency on the documents' terms, so that the index is
-    never joined with its own term statistics. Queries without terms have no rows.
-    """
-    index, n, asked = _indexed(queries, docs, query_key, doc_key, query_text, doc_text, language)
-    avgdl = (index.agg(F.sum("tf")).first()[0] or 0) / n if n else 1.0
-    saturated = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.lit(avgdl or 1.0)))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return _search(asked, index, n, F.col("tf") * idf, saturated, k, block)
 
+def _hits(docs: DataFrame, key: str, text: str, language: str | None, asked: DataFrame, count: int) -> Hits:
+    """Of documents that are not indexed. They are cut into terms once; only asked terms, and a row with the length of each
+    document, go on and are written."""
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), analyzed(F.col(text), language).alias("terms"))
+    own = own.groupBy("id").agg(F.flatten(F.collect_list("terms")).alias("terms")).withColumn("dl", F.size("terms"))
+    wanted = _asked_terms(asked.select("term").union(small_table(docs.sparkSession, [("",)], "term string")), count)
+    each = own.select("id", "dl", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
+    rows = cut_lineage(each.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")))
+    total = rows.where("term = ''").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).first()
+    found = rows.where("term <> ''")
+    return Hits(found, found.groupBy("term").agg(F.count("*").alias("df")), total["n"], total["words"] or 0)
 
-def learned_sparse_topk(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", doc_key: str = "doc_id", query_text: str = "text", doc_text: str = "text", k: int = TOP_K, language: str | None = "es", block: int = BLOCK) -> DataFrame:
-    """(query_id, doc_id, score, rank) by the stand-in for a learned-sparse encoder: weights ln(1 + tf) on both sides, and
-    ln(1 + N / df) once."""
-    index, n, asked = _indexed(queries, docs, query_key, doc_key, query_text, doc_text, language)
-    return _search(asked, index, n, F.log1p("tf") * F.log(1 + F.lit(n) / F.col("df")), F.log1p("tf"), k, block)
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A stored inverted index: postings (bucket, term, id, tf, dl) and terms (bucket, term, df, cf), both in a folder for each
+    bucket of terms, the number of documents and of their words, and how texts were cut into terms."""
+
+    postings: DataFrame
+    terms: DataFrame
+    docs: int
+    words: int
+    buckets: int
+    language: str | None
+
+    def hits(self, asked: DataFrame) -> Hits:
+        """The rows of the asked terms; only the buckets that have some are read."""
+        marked = asked.select("term").distinct().withColumn("bucket", _bucket(self.buckets))
+        read = [r[0] for r in marked.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        of = lambda df: df.where(F.col("bucket").isin(read)).join(marked, ["bucket", "term"], "left_semi").drop("bucket")
+        return Hits(of(self.postings), of(self.terms).select("term", "df"), self.docs, self.words)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "full_text", language: str | None = None, buckets: int = 64) -> None:
+    """Writes the inverted index of ``docs``; the folder with its totals is written last and completes it.
+
+    Documents are cut into terms once. Null keys don't count; texts of one key are indexed together; a null text has no terms.
+    """
+    index = index_with_lengths(docs, key, text, language).withColumn("bucket", _bucket(buckets))
+    spark = docs.sparkSession
+    index.repartition(shuffle_partitions(spark), "bucket", "term").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.schema(_POSTINGS_DDL).parquet(f"{path}/postings")
+    terms = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    counted = docs.where(F.col(key).isNotNull()).agg(F.countDistinct(key).alias("docs"))
+    words = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    counted.crossJoin(words).withColumns({"buckets": F.lit(buckets), "language": F.lit(language).cast("string")}).write.mode("overwrite").parquet(f"{path}/totals")  # two single rows
+
+
+def open_index(spark: SparkSession, path: str) -> TextIndex:
+    """The index at ``path``; an error if it was not written to its end."""
+    if not is_complete(spark, f"{path}/totals"):
+        raise RuntimeError(f"{path} has no complete index")
+    total = spark.read.parquet(f"{path}/totals").first()
+    postings = spark.read.schema(_POSTINGS_DDL).parquet(f"{path}/postings")
+    terms = spark.read.schema("term string, df bigint, cf bigint, bucket int").parquet(f"{path}/terms")
+    return TextIndex(postings, terms, total["docs"], total["words"], total["buckets"], total["language"])
+
+
+def _found(queries: DataFrame, docs: DataFrame | TextIndex, query_key: str, doc_key: str, query_text: str, doc_text: str, language: str | None) -> tuple[DataFrame, int, Hits]:
+    """The queries' terms (id, term, tf), how many queries have any, and the documents' rows with these terms."""
+    asked = postings(queries, query_key, query_text, docs.language if isinstance(docs, TextIndex) else language)
+    counts = asked.agg(F.countDistinct("id").alias("ids"), F.countDistinct("term").alias("terms")).first()
+    hits = docs.hits(asked) if isinstance(docs, TextIndex) else _hits(docs, doc_key, doc_text, language, asked, counts["terms"])
+    return asked, counts["ids"], hits
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame | TextIndex, query_key: str = "query_id", doc_key: str = "doc_id", query_text: str = "text", doc_text: str = "text", k: int = TOP_K, k1: float = 0.9, b: float = 0.4, language: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank): BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over documents or a stored index.
+
+    The idf is put on the few terms of the queries and the saturated frequency on the documents' terms. Only rows of asked
+    terms are shuffled. Queries without terms have no rows; without documents there are none.
+    """
+    asked, count, hits = _found(queries, docs, query_key, doc_key, query_text, doc_text, language)
+    mean = hits.words / hits.docs if hits.words else 1.0
+    saturated = F.col("tf") / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.lit(mean)))
+    idf = F.log(1 + (F.lit(hits.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return _search(asked, count, hits, F.col("tf") * idf, saturated, k, block)
 
 
-def _indexed(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, query_text: str, doc_text: str, language: str | None) -> tuple[DataFrame, int, DataFrame]:
-    """The index, written once as totals, document frequencies and the search read it; the number of documents; the queries' terms."""
-    index = cut_lineage(index_with_lengths(docs, doc_key, doc_text, language))
-    n = docs.where(F.col(doc_key).isNotNull()).select(doc_key).distinct().count()
-    return index, n, postings(queries, query_key, query_text, language)
+def learned_sparse_topk(queries: DataFrame, docs: DataFrame | TextIndex, query_key: str = "query_id", doc_key: str = "doc_id", query_text: str = "text", doc_text: str = "text", k: int = TOP_K, language: str | None = "es", block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank) by weights without a model: ln(1 + tf) on both sides, and ln(1 + N / df) once."""
+    asked, count, hits = _found(queries, docs, query_key, doc_key, query_text, doc_text, language)
+    return _search(asked, count, hits, F.log1p("tf") * F.log(1 + F.lit(hits.docs) / F.col("df")), F.log1p("tf"), k, block)
 
 
-def _search(asked: DataFrame, index: DataFrame, n: int, query_weight: Column, doc_weight: Column, k: int, block: int) -> DataFrame:
+def _search(asked: DataFrame, count: int, hits: Hits, query_weight: Column, doc_weight: Column, k: int, block: int) -> DataFrame:
     """Weights of query terms are an expression over ``tf`` and ``df``, those of documents over ``tf`` and ``dl``."""
-    index = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").select("id", "term", query_weight.alias("weight"))
-    return sparse_topk(weighted, index.select("id", "term", doc_weight.alias("weight")), k, block=block, doc_count=n)
+    weighted = asked.join(hits.terms, "term").select("id", "term", query_weight.alias("weight"))
+    return _scored(weighted, hits.postings.select("id", "term", doc_weight.alias("weight")), count, hits.docs, k, True, block)
 
 
 def csr_rows(sparse: DataFrame) -> DataFrame:

@@ -87,3 +87,25 @@ def test_hybrid_keeps_all_candidates(spark, parts):
     _, queries, docs = parts
     run = spark.createDataFrame([(m, "q1", d, s, r) for m, own in (("a", ["d1", "d2"]), ("b", ["d2", "gone"])) for r, (d, s) in enumerate(zip(own, (2.0, 1.0), strict=True), 1)], "model string, query_id string, doc_id string, score double, rank int")
     assert {r["doc_id"] for r in rerank.hybrid(run, queries, docs).collect()} == {"d1", "d2", "gone"}
+
+
+@pytest.mark.parametrize("language", [None, "es"])
+def test_a_stored_index_finds_the_same(spark, tmp_path, language):
+    words = "sol luna mar río casas niños faro torre".split()
+    docs = spark.createDataFrame([(f"d{i % 50:02d}", " ".join(words[(i * j) % 8] for j in range(i % 9))) for i in range(60)] + [("e", ""), ("n", None), (None, "sol")], "doc_id string, full_text string")
+    asked = spark.createDataFrame([("q1", "sol y mar"), ("q2", "torres"), ("q3", None), ("q4", "nada")], "query_id string, text string")
+    path = str(tmp_path / "index")
+    with pytest.raises(RuntimeError):
+        retrieve.open_index(spark, path)
+    retrieve.build_index(docs, path, language=language, buckets=8)
+    index = retrieve.open_index(spark, path)
+    assert index.docs == 52 and index.language == language
+    for search in (retrieve.bm25_topk, retrieve.learned_sparse_topk):
+        plain, stored = (sorted(map(tuple, search(asked, x, doc_text="full_text", language=language).collect())) for x in (docs, index))
+        assert plain == stored and plain
+    hits = index.hits(retrieve.postings(asked.where("query_id = 'q1'"), "query_id", "text", language))
+    assert "PartitionFilters: [bucket" in hits.postings._jdf.queryExecution().simpleString()
+    empty = str(tmp_path / "empty")
+    retrieve.build_index(docs.limit(0), empty)
+    assert retrieve.bm25_topk(asked, retrieve.open_index(spark, empty)).count() == 0
+    assert retrieve.bm25_topk(asked, docs.limit(0), doc_text="full_text").count() == 0
