@@ -1,42 +1,28 @@
-"""Names of tables, models and parameter sets, as plain strings and as expressions."""
+"""Names of models and configurations, as expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def model_slug(name: str) -> str:
-    """A model's name as one path component."""
-    return name.replace("/", "__")
-
-
-def short_name(name: str) -> str:
-    """The last component of a model's name."""
-    return name.split("/")[-1]
-
-
-def filter_suffix(max_words: int | None) -> str:
-    """What a word limit adds to a path."""
-    return "nofilter" if max_words is None else f"filt{max_words}w"
-
-
-def format_params(params: dict[str, object] | None) -> str:
-    """``k=v`` pairs with commas; empty without parameters."""
-    return ",".join(f"{k}={v}" for k, v in (params or {}).items())
+# How a word limit shows in a configuration's key, without and with one.
+UNFILTERED, FILTERED = "nofilter", "filt%dw"
+# Fixed value: what stands for the separator of a model's name where it is one path component.
+SEPARATOR = "__"
 
 
 def model_slug_of(name: Column) -> Column:
-    """``model_slug`` as an expression."""
-    return F.replace(name, F.lit("/"), F.lit("__"))
+    """A model's name as one path component."""
+    return F.array_join(F.split(name, "/"), SEPARATOR)
 
 
 def short_name_of(name: Column) -> Column:
-    """``short_name`` as an expression."""
-    return F.element_at(F.split(name, "/"), -1)
+    """The last component of a model's name."""
+    return F.substring_index(name, "/", -1)
 
 
 def cache_key_of(country: Column, version: Column, query_length: Column, doc_length: Column, max_words: Column) -> Column:
-    """Key of one configuration, as the path component that keeps its tables apart."""
-    suffix = F.when(max_words.isNull(), "nofilter").otherwise(F.format_string("filt%dw", max_words))
-    return F.format_string("%s_v%s_q%d_d%d_%s", country, version, query_length, doc_length, suffix)
+    """Key of one configuration, which keeps its results apart from others."""
+    limit = F.coalesce(F.format_string(FILTERED, max_words), F.lit(UNFILTERED))
+    lengths = F.concat_ws("_", F.concat(F.lit("q"), query_length), F.concat(F.lit("d"), doc_length))
+    return F.concat_ws("_", country, F.concat(F.lit("v"), version), lengths, F.when(max_words.isNull(), UNFILTERED).otherwise(limit))

@@ -1,13 +1,17 @@
 """Encoding plans and encoders.
 
-Models are injected: an encoder is any object with ``encode(texts) -> matrix``; a small deterministic one is built in. The
-plan sizes sequences and batches by the longest text of a chunk, as models run best on texts of like length.
+Models are injected: an encoder is any object with ``encode(texts, batch, length, is_query) -> matrix``, a sparse one has
+``encode_sparse`` instead; small deterministic ones are built in. The plan sizes sequences and batches by the longest text of
+a chunk, as models run best on texts of like length, and ``encode_planned`` obeys it: chunks of one band go to one task, which
+hands the encoder the batch and the sequence length of each chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -25,9 +29,16 @@ TOKENS_PER_WORD = 1.5
 
 
 class Encoder(Protocol):
-    """What encodes a batch of texts to a float matrix, a row for each text."""
+    """What encodes texts to a float matrix, a row for each text: so many at once, cut at so many tokens (None: as the model has
+    it), as queries or as documents."""
 
-    def encode(self, texts: list[str]) -> np.ndarray: ...
+    def encode(self, texts: list[str], batch: int, length: int | None, is_query: bool) -> np.ndarray: ...
+
+
+class SparseEncoder(Protocol):
+    """What encodes texts to weighted terms, a dictionary for each text."""
+
+    def encode_sparse(self, texts: list[str], batch: int, length: int | None, is_query: bool) -> list[dict[str, float]]: ...
 
 
 @dataclass(frozen=True)
@@ -51,21 +62,34 @@ ENCODERS = {
 }
 
 
+def _cut_words(text: str, length: int | None) -> list[str]:
+    """Lower-case words, as many as a sequence of so many tokens takes."""
+    own = re.findall(r"[^\W_]+", text.lower())
+    return own if length is None else own[: max(1, int(length / TOKENS_PER_WORD))]
+
+
 class HashingEncoder:
     """Signed feature hashing of lower-case words: deterministic, without a model."""
 
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
 
-    def encode(self, texts: list[str]) -> np.ndarray:
+    def encode(self, texts: list[str], batch: int = 128, length: int | None = None, is_query: bool = False) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
+            for word in _cut_words(text, length):
                 h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
                 out[row, h % self.dim] += 1.0 if h >> 63 else -1.0
         return out
 
 
+class TermEncoder:
+    """Sparse vectors without a model: ln(1 + frequency) of each lower-case word."""
+
+    def encode_sparse(self, texts: list[str], batch: int = 128, length: int | None = None, is_query: bool = False) -> list[dict[str, float]]:
+        return [{w: math.log1p(n) for w, n in Counter(_cut_words(t, length)).items()} for t in texts]
+
+
 def planned_tokens(words: Column) -> Column:
     """Tokens expected of a text of so many words."""
     return F.floor(words * F.lit(TOKENS_PER_WORD)).cast("int")
@@ -114,33 +138,80 @@ def assign_chunks(docs: DataFrame, chunk_size: int, key: str = "doc_id", words:
     return placed.withColumn("chunk", F.floor((F.col("__before") + F.col("__place") - 1) / chunk_size)).drop("__slice", "__place", "__before")
 
 
-def encode(df: DataFrame, key: str, text: str, make: Callable[[], Encoder], prompt: str = "", batch: int = 128, normalize: bool = True) -> DataFrame:
+def _vectors(matrix: np.ndarray, normalize: bool) -> pa.Array:
+    matrix = np.asarray(matrix, np.float32)
+    if normalize:
+        size = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, max(1, matrix.shape[1])), pa.int32()), pa.array(matrix.ravel()))
+
+
+def _texts(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), *more)
+
+
+def _calls(rows: pa.RecordBatch, batch: int, length: int | None) -> Iterator[tuple[pa.RecordBatch, int, int | None]]:
+    """Pieces of a batch of rows for one call each, with their batch and length: those of a chunk's plan, if rows have one."""
+    at = 0
+    planned = "sequence" in rows.schema.names
+    while at < rows.num_rows:
+        stop, size, cut = rows.num_rows, batch, length
+        if planned:
+            chunk = rows.column("chunk").to_numpy()
+            stop = at + int(np.argmax(np.append(chunk[at:] != chunk[at], True)))
+            size, cut = rows.column("batch")[at].as_py(), rows.column("sequence")[at].as_py()
+        for start in range(at, stop, size):
+            yield rows.slice(start, min(size, stop - start)), size, cut
+        at = stop
+
+
+def encode(df: DataFrame, key: str, text: str, make: Callable[[], Encoder], prompt: str = "", batch: int = 128, normalize: bool = True, is_query: bool = False, length: int | None = None) -> DataFrame:
     """(id, embedding): the encoder's vectors, of unit length if ``normalize``. Null texts count as empty; null keys are dropped.
 
     The encoder is made once for each task and sees batches of ``batch`` texts; no vector leaves the task but as a row.
     """
+    return _texts(df, key, text).mapInArrow(_encoded(make, prompt, batch, normalize, is_query, length), "id string, embedding array<float>")
+
+
+def _encoded(make: Callable[[], Encoder], prompt: str, batch: int, normalize: bool, is_query: bool, length: int | None):  # noqa: ANN202
     schema = pa.schema([("id", pa.string()), ("embedding", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for rows in batches:
-            for at in range(0, rows.num_rows, batch):
-                part = rows.slice(at, batch)
-                matrix = np.asarray(model.encode([prompt + (t or "") for t in part.column("text").to_pylist()]), np.float32)
-                if normalize:
-                    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-                    matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, max(1, matrix.shape[1])), pa.int32()), pa.array(matrix.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), vectors], schema=schema)
+            for part, size, cut in _calls(rows, batch, length):
+                matrix = model.encode([prompt + (t or "") for t in part.column("text").to_pylist()], size, cut, is_query)
+                yield pa.RecordBatch.from_arrays([part.column("id"), _vectors(matrix, normalize)], schema=schema)
 
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id string, embedding array<float>")
+    return run
 
 
-def encode_by_length(docs: DataFrame, make: Callable[[], Encoder], key: str = "doc_id", text: str = "full_text", words: str = "word_count", partitions: int | None = None, **options: object) -> DataFrame:
-    """``encode`` over documents that are first spread by length, so that a task sees texts of like length."""
+def planned(docs: DataFrame, chunk_size: int, model_max: int, key: str = "doc_id", words: str = "word_count", partitions: int | None = None) -> DataFrame:
+    """``docs`` with their chunk, sequence and batch, spread so that a task has chunks of one band or of neighbouring ones, in order."""
+    plan = chunk_plan(docs, chunk_size, model_max, key=key, words=words).select("chunk", "sequence", "batch")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return encode(docs.repartitionByRange(n, words, F.xxhash64(key)).sortWithinPartitions(words), key, text, make, **options)
+    return assign_chunks(docs, chunk_size, key, words).join(plan, "chunk").repartitionByRange(n, "sequence", "chunk").sortWithinPartitions("sequence", "chunk", F.xxhash64(key))
+
+
+def encode_planned(docs: DataFrame, make: Callable[[], Encoder], model_max: int, chunk_size: int = 10_000, key: str = "doc_id", text: str = "full_text", words: str = "word_count", prompt: str = "", normalize: bool = True, partitions: int | None = None) -> DataFrame:
+    """``encode`` of documents by their plan: each chunk with the sequence length and the batch of its longest text."""
+    rows = _texts(planned(docs, chunk_size, model_max, key, words, partitions), key, text, F.col("chunk"), F.col("sequence"), F.col("batch"))
+    return rows.mapInArrow(_encoded(make, prompt, 128, normalize, False, None), "id string, embedding array<float>")
+
+
+def encode_sparse(df: DataFrame, key: str, text: str, make: Callable[[], SparseEncoder], prompt: str = "", batch: int = 128, is_query: bool = False, length: int | None = None) -> DataFrame:
+    """(id, term, weight): the sparse encoder's weights that are not 0. Null texts count as empty; null keys are dropped."""
+    schema = pa.schema([("id", pa.string()), ("term", pa.string()), ("weight", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for rows in batches:
+            for part, size, cut in _calls(rows, batch, length):
+                found = model.encode_sparse([prompt + (t or "") for t in part.column("text").to_pylist()], size, cut, is_query)
+                flat = [(i, t, float(w)) for i, own in zip(part.column("id").to_pylist(), found, strict=True) for t, w in own.items() if w]
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], f.type) for n, f in enumerate(schema)], schema=schema)
+
+    return _texts(df, key, text).mapInArrow(run, "id string, term string, weight double")
 
 
 def prompted(queries: DataFrame, task: str, text: str = "text") -> DataFrame:

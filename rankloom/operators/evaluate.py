@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,14 +73,16 @@ def evaluate(run: DataFrame, qrels: DataFrame, keys: Sequence[str] = ("model",),
 
 
 def paired_t(scores: DataFrame, metric: str, keys: str = "model") -> DataFrame:
-    """(first, second, n, mean_delta, t) of each pair of lists: the paired t statistic of a metric; null if all deltas are equal."""
+    """(first, second, n, mean_delta, t, p) of each pair of lists: the paired t statistic of a metric and its two-sided probability;
+    both null if all deltas are equal."""
     a = scores.select(F.col(keys).alias("first"), "query_id", F.col(metric).alias("x"))
     b = scores.select(F.col(keys).alias("second"), "query_id", F.col(metric).alias("y"))
     deltas = a.join(b, "query_id").where(F.col("first") < F.col("second")).withColumn("d", F.round(F.col("x") - F.col("y"), DIGITS))
     spread = F.stddev_samp("d")
-    return deltas.groupBy("first", "second").agg(
-        F.count("*").alias("n"), F.round(F.avg("d") + HALF, 6).alias("mean_delta"), F.round(F.when(spread > 1e-12, F.avg("d") / (spread / F.sqrt(F.count("*")))), 4).alias("t"),
+    tested = deltas.groupBy("first", "second").agg(
+        F.count("*").alias("n"), F.round(F.avg("d") + HALF, 6).alias("mean_delta"), F.when(spread > 1e-12, F.avg("d") / (spread / F.sqrt(F.count("*")))).alias("t"),
     )
+    return tested.select("first", "second", "n", "mean_delta", F.round("t", 4).alias("t"), F.round(p_value(F.col("t"), F.col("n")) + HALF, 6).alias("p"))
 
 
 def result_rows(metrics: DataFrame) -> DataFrame:
@@ -111,6 +116,48 @@ def inline(row: dict, strategy: str = "", params: str = "") -> str:
     return f"{tag}: " + ", ".join(f"{TITLES[m]} {row[m]:.4f}" for m in METRICS)
 
 
-def significant(t: Column, n: Column) -> Column:
-    """Whether |t| passes 1.96, the normal approximation at 5 %; for 30 queries or more."""
-    return (F.abs(t) > 1.96) & (n >= 30)
+def boxed(row: dict, strategy: str = "", params: str = "") -> str:
+    """One result as a framed block, a line for each metric."""
+    head = inline(row, strategy, params).split(": ndcg")[0]
+    lines = [f"{TITLES[m]:<14}{row[m]:>8.4f}" for m in METRICS]
+    width = max(map(len, [head, *lines]))
+    rule = "+" + "-" * (width + 2) + "+"
+    return "\n".join([rule, f"| {head:<{width}} |", rule, *(f"| {line:<{width}} |" for line in lines), rule])
+
+
+#: How a result is told: as a block, on a line, or not at all.
+REPORTS = {"box": boxed, "inline": inline, "quiet": lambda row, strategy="", params="": ""}
+
+
+def report(metrics: DataFrame, mode: str = "inline", say: Callable[[str], None] = print) -> DataFrame:
+    """Says the few rows of ``metrics``, each in the given mode, and gives them back."""
+    if mode != "quiet":
+        for row in metrics.collect():
+            told = row.asDict()
+            say(REPORTS[mode](told, told.get("strategy") or "", told.get("params") or ""))
+    return metrics
+
+
+def two_sided(t: float, degrees: int) -> float:
+    """Probability of a |t| as great under Student's distribution, by the finite series in the cosine of atan(|t| / root of the
+    degrees): each term is the one before times the square of the cosine and (2j - 1) / 2j, or 2j / (2j + 1) where degrees are odd."""
+    angle = math.atan(abs(t) / math.sqrt(degrees))
+    odd = degrees % 2
+    j = np.arange(1, (degrees - 2 - odd) // 2 + 1, dtype=float)
+    factors = 2 * j / (2 * j + 1) if odd else (2 * j - 1) / (2 * j)
+    total = 1.0 + float(np.cumprod(factors * math.cos(angle) ** 2).sum())
+    if not odd:
+        inside = math.sin(angle) * total
+    else:
+        inside = 2 / math.pi * (angle + (math.sin(angle) * math.cos(angle) * total if degrees > 1 else 0.0))
+    return max(0.0, 1.0 - inside)
+
+
+def p_value(t: Column, n: Column) -> Column:
+    """``two_sided`` of n - 1 degrees, for the few rows of a comparison; null for null t or fewer than 2 pairs."""
+
+    @F.arrow_udf("double")
+    def probability(ts: pa.Array, ns: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or k is None or k < 2 else two_sided(x, k - 1) for x, k in zip(ts.to_pylist(), ns.to_pylist(), strict=True)], pa.float64())
+
+    return probability(t, n)

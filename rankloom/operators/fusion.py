@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.naming import format_params
 from rankloom.operators.runs import minmax, rank_run
 from rankloom.schema import STRATEGIES, FusionStrategy
 from rankloom.session import shuffle_partitions, small_table
@@ -213,7 +212,7 @@ def fusion_grid(run: DataFrame, combos: Sequence[tuple[str, ...]], strategies: S
     """
     models = sorted({m for c in combos for m in c})
     scored = _each_choice(_wide(run, models, strategies, ("query_id",), len(combos)), models, combos, strategies)
-    each = F.array(*[F.struct(F.lit(s.method).alias("strategy"), F.lit(format_params(s.params)).alias("params"), F.col(f"s{i}").alias("score")) for i, s in enumerate(strategies)])
+    each = F.array(*[F.struct(F.lit(s.method).alias("strategy"), F.lit(s.label).alias("params"), F.col(f"s{i}").alias("score")) for i, s in enumerate(strategies)])
     melted = scored.select("combo", "query_id", "doc_id", F.explode(each).alias("x")).select("combo", "x.strategy", "x.params", "query_id", "doc_id", "x.score")
     order = Window.partitionBy("combo", "strategy", "params", "query_id").orderBy(F.desc("score"), "doc_id")
     return melted.withColumn("rank", F.row_number().over(order))
@@ -242,7 +241,7 @@ def judged_grid(run: DataFrame, qrels: DataFrame, combos: Sequence[tuple[str, ..
     name = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(c) + 1)
     return ranks.select(
         name(["+".join(c) for c in combos], "combo").alias("combo"), name([s.method for s in strategies], "strategy").alias("strategy"),
-        name([format_params(s.params) for s in strategies], "strategy").alias("params"), "query_id", "doc_id", "rank",
+        name([s.label for s in strategies], "strategy").alias("params"), "query_id", "doc_id", "rank",
     )
 
 
@@ -306,4 +305,4 @@ def _rounded(score: np.ndarray) -> np.ndarray:
 
 def grid_lists(spark: SparkSession, combos: Sequence[tuple[str, ...]], strategies: Sequence[FusionStrategy] = GRID) -> DataFrame:
     """(combo, strategy, params): the lists of a grid; few rows."""
-    return small_table(spark, [("+".join(c), s.method, format_params(s.params)) for c in combos for s in strategies], "combo string, strategy string, params string")
+    return small_table(spark, [("+".join(c), s.method, s.label) for c in combos for s in strategies], "combo string, strategy string, params string")

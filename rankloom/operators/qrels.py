@@ -16,6 +16,12 @@ def test_rows(judgements: DataFrame, split: str | None = None, match_score: floa
     return judgements
 
 
+def split_or_first(rows: DataFrame, split: str, column: str = "split") -> DataFrame:
+    """The rows of ``split``; where there are none, those of the first split in alphabetical order. Null splits don't count."""
+    chosen = rows.agg(F.coalesce(F.max(F.when(F.col(column) == split, split)), F.min(column)).alias("__split"))  # one row
+    return rows.join(F.broadcast(chosen), F.col(column) == F.col("__split"), "left_semi")
+
+
 def build_qrels(judgements: DataFrame, query: str = "id", doc: str = "docid", relevance: str | None = None) -> DataFrame:
     """(query_id, doc_id, relevance), one row for each pair: relevance 1, or the greatest of a graded column.
 

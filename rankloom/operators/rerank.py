@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
@@ -68,6 +68,29 @@ def pointwise(pairs: DataFrame, scorer: PointScorer | None = None) -> DataFrame:
     return rank_run(pairs.select("query_id", "doc_id", score.alias("score")), None, ("query_id",))
 
 
+def work_items(run: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, candidates, longest, place): the work of each query with the words of its longest document, the heaviest first.
+
+    Documents (doc_id, word_count) that are missing count as empty. Only numbers are shuffled. The order is one over all queries,
+    told by counts of how many queries have each length, which are few.
+    """
+    sized = run.join(docs.select("doc_id", "word_count"), "doc_id", "left").groupBy("query_id").agg(F.count("*").alias("candidates"), F.max(F.coalesce("word_count", F.lit(0))).alias("longest"))
+    # A row for each length, so that the window without partitions is short.
+    before = Window.orderBy(F.desc("longest")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = sized.groupBy("longest").agg(F.count("*").alias("n")).select("longest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("heavier"))
+    place = F.row_number().over(Window.partitionBy("longest").orderBy("query_id"))
+    return sized.withColumn("at", place).join(levels, "longest").select("query_id", "candidates", "longest", (F.col("heavier") + F.col("at")).cast("int").alias("place"))
+
+
+def jaccard(queries: pd.Series, docs: pd.Series) -> pd.Series:
+    """A pair scorer without a model, over batches: words in common as a share of all words of both."""
+    out = []
+    for q, d in zip(queries, docs, strict=True):
+        a, b = _words(q), _words(d)
+        out.append(len(a & b) / len(a | b) if a or b else 0.0)
+    return pd.Series(out, dtype=float)
+
+
 @functools.lru_cache(maxsize=10_000)
 def _words(text: str) -> frozenset[str]:
     return frozenset(re.findall(r"[^\W_]+", text.lower()))

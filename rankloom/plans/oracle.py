@@ -146,6 +146,16 @@ def oracle_sql() -> dict[str, str]:
         ("s", "SELECT q.id AS query_id, p.id AS doc_id, round(sum(ln(1 + q.tf) * ln(1 + p.tf) * ln(1 + (SELECT count(*) FROM docs) / df::DOUBLE)), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term) GROUP BY ALL"),
     ]
     plain = _terms("docs", "doc_id", "full_text", False)
+    chunks = [
+        ("c", "SELECT word_count, (row_number() OVER (ORDER BY word_count, doc_id) - 1) // 200 AS chunk FROM docs"),
+        ("w", "SELECT chunk, count(*) AS docs, max(word_count) AS max_words, CAST(floor(max(word_count) * 1.5) AS INT) AS tokens FROM c GROUP BY chunk"),
+        ("s", "SELECT *, CAST(CASE WHEN tokens <= 512 THEN 512 WHEN tokens <= 2048 THEN 2048 WHEN tokens <= 8192 THEN 8192 WHEN tokens <= 16384 THEN 16384 ELSE 32768 END AS INT) AS sequence FROM w"),
+        ("b", "SELECT *, CAST(CASE sequence WHEN 512 THEN 128 WHEN 2048 THEN 32 WHEN 8192 THEN 8 WHEN 16384 THEN 4 ELSE 2 END AS INT) AS batch FROM s"),
+    ]
+    # The density's series by the gamma function, where the query multiplies its terms up.
+    even = "sin(a) * list_sum(list_transform(range(0, df // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(a), 2 * j)))"
+    odd = "2 / pi() * (a + CASE WHEN df > 1 THEN sin(a) * cos(a) * list_sum(list_transform(range(0, (df - 1) // 2), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * pow(cos(a), 2 * j))) ELSE 0 END)"
+    union = f"nullif(len(list_distinct({_TOKENS.format('query_text')} || {_TOKENS.format('doc_text')})), 0)"
     out |= {
         "eval_fused": _with(["fused"], f"SELECT model, {_MEANS} FROM scores GROUP BY model", [("qr", _CTES["qr"]), *_per_query(f"SELECT 'rrf' AS model, query_id, doc_id, rank FROM ({_ranked('SELECT query_id, doc_id, rrf AS score FROM fused')})", "model", "qr")]),
         "fuse_borda": _with(["run"], _ranked("SELECT * FROM s"), borda),
@@ -181,8 +191,18 @@ def oracle_sql() -> dict[str, str]:
         "eval_per_query": _with(["run", "qr"], "SELECT * FROM scores", model_eval),
         "eval_run": _with(["run", "qr"], f"SELECT model, {_MEANS} FROM scores GROUP BY model", model_eval),
         "eval_graded_ndcg": _with(["run", "graded"], "SELECT model, round(avg(ndcg_10) + 1e-12, 6) AS ndcg_10 FROM scores GROUP BY model", _per_query("SELECT model, query_id, doc_id, rank FROM run", "model", "graded")),
-        "eval_paired_t": _with(["run", "qr"], "SELECT a.model AS first, b.model AS second, count(*) AS n, round(avg(round(a.ndcg_10 - b.ndcg_10, 9)) + 1e-12, 6) AS mean_delta, round(CASE WHEN stddev_samp(round(a.ndcg_10 - b.ndcg_10, 9)) > 1e-12 THEN avg(round(a.ndcg_10 - b.ndcg_10, 9)) / (stddev_samp(round(a.ndcg_10 - b.ndcg_10, 9)) / sqrt(count(*))) END, 4) AS t FROM scores a JOIN scores b USING (query_id) WHERE a.model < b.model GROUP BY ALL", model_eval),
+        "eval_paired_t": _with(
+            ["run", "qr"], f"SELECT first, second, n, mean_delta, round(t, 4) AS t, round(greatest(0, 1 - CASE WHEN df % 2 = 0 THEN {even} ELSE {odd} END) + 1e-12, 6) AS p FROM (SELECT *, n - 1 AS df, atan(abs(t) / sqrt(n - 1)) AS a FROM pairs)",
+            [*model_eval, ("pairs", "SELECT a.model AS first, b.model AS second, count(*) AS n, round(avg(round(a.ndcg_10 - b.ndcg_10, 9)) + 1e-12, 6) AS mean_delta, CASE WHEN stddev_samp(round(a.ndcg_10 - b.ndcg_10, 9)) > 1e-12 THEN avg(round(a.ndcg_10 - b.ndcg_10, 9)) / (stddev_samp(round(a.ndcg_10 - b.ndcg_10, 9)) / sqrt(count(*))) END AS t FROM scores a JOIN scores b USING (query_id) WHERE a.model < b.model GROUP BY ALL")],
+        ),
         "results_table": _with(["run", "qr"], f"SELECT model, strategy, params, '| ' || {padded} || ' |' AS line FROM cells", [*model_eval, ("means", f"SELECT model, {_MEANS} FROM scores GROUP BY model"), ("cells", f"SELECT model, ' ' AS strategy, ' ' AS params, {formatted} FROM means")]),
+        "encode_plan": _with(["docs"], "SELECT * FROM b", chunks),
+        "encode_assigned": _with(["docs"], "SELECT sequence, batch, sum(docs)::BIGINT AS docs, max(max_words) AS longest FROM b GROUP BY ALL", chunks),
+        "encode_terms": _with(["docs"], f"SELECT id, term, round(ln(1 + tf::DOUBLE), 6) AS weight FROM ({plain})"),
+        "qrels_split": "SELECT DISTINCT CAST(id AS VARCHAR) AS query_id, docid AS doc_id, CAST(1 AS INT) AS relevance FROM judgements WHERE id IS NOT NULL AND docid IS NOT NULL AND split = (SELECT coalesce(max(split) FILTER (split = 'train'), min(split)) FROM judgements)",
+        "qrels_split_fallback": "SELECT DISTINCT CAST(id AS VARCHAR) AS query_id, docid AS doc_id, CAST(1 AS INT) AS relevance FROM judgements WHERE id IS NOT NULL AND docid IS NOT NULL AND split = (SELECT coalesce(max(split) FILTER (split = 'corpus'), min(split)) FROM judgements)",
+        "rerank_work": _with(["run", "docs"], "SELECT *, CAST(row_number() OVER (ORDER BY longest DESC, query_id) AS INT) AS place FROM (SELECT query_id, count(*) AS candidates, max(coalesce(word_count, 0)) AS longest FROM run LEFT JOIN docs USING (doc_id) WHERE model = 'lexico' GROUP BY query_id)"),
+        "rerank_pointwise_scored": _with(["lexico"], _ranked(f"SELECT query_id, doc_id, round(coalesce(len(list_intersect(list_distinct({_TOKENS.format('query_text')}), list_distinct({_TOKENS.format('doc_text')})))::DOUBLE / {union}, 0), 6) AS score FROM lexico")),
         "encode_prompts": _with(["qtexts"], "SELECT query_id, 'Instruct: Dada una consulta, encuentra el pasaje que la responde' || chr(10) || 'Query: ' || text AS prompt FROM qtexts"),
         "rerank_candidates": _with(["lexico"], "SELECT * FROM lexico"),
         "rerank_pending": _with(["run"], "SELECT query_id, doc_id, rank FROM run WHERE model = 'lexico' AND query_id NOT IN (SELECT query_id FROM run WHERE model = 'cruzado')"),
@@ -197,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
         "length_hist_log": _with(["counted"], "SELECT CAST(floor(log10(word_count) / log10((SELECT max(word_count) FROM counted) + 1) * 79) AS INT) + 1 AS bin, count(*) AS n FROM counted WHERE word_count >= 1 GROUP BY bin"),
         "show_query": _with(["qr", "qtexts", "docs"], "SELECT query_id, text AS query, doc_id, CASE WHEN length(full_text) > 200 THEN array_slice(full_text, 1, 200) || '...' ELSE full_text END AS shown FROM qr JOIN qtexts USING (query_id) JOIN docs USING (doc_id) WHERE query_id = '100007'"),
         "model_slug_cache_key": "SELECT name, replace(name, '/', '__') AS slug, split_part(name, '/', -1) AS short, 'full_v1.2_q64_d256_' || CASE WHEN contains(name, 'denso') THEN 'filt400w' ELSE 'nofilter' END AS key FROM (SELECT DISTINCT 'grupo/' || model AS name FROM retrieval_run WHERE model IS NOT NULL)",
-        "fusion_strategies": "SELECT * FROM (VALUES ('rrf', 'rrf', 'k=60.0'), ('rbc', 'rbc', 'phi=0.95'), ('combmnz', 'mnz', ''), ('isr', 'isr', ''), ('bordafuse', 'bordafuse', ''), ('condorcet', 'condorcet', '')) t(key, method, params)",
+        "fusion_strategies": "SELECT * FROM (VALUES ('rrf', 'rrf', 'k=60'), ('rbc', 'rbc', 'phi=0.95'), ('combmnz', 'mnz', ''), ('isr', 'isr', ''), ('bordafuse', 'bordafuse', ''), ('condorcet', 'condorcet', '')) t(key, method, params)",
         "embeddings_by_chunk": "SELECT chunk, count(*) AS rows, CAST(sum(coalesce(len(embedding), 0)) AS BIGINT) AS numbers FROM doc_embeddings GROUP BY chunk",
     }
     return out

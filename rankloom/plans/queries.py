@@ -18,6 +18,8 @@ from rankloom.sources.tables import read_table
 MAX_WORDS = 400
 PHIS = (0.8, 0.9, 0.95, 0.98)
 TOKENS = 4
+#: The run that is reranked, the one whose queries are done, the one of token vectors, and those that the hybrid fuses.
+FIRST_STAGE, DONE, VECTORS, HYBRID = "lexico", "cruzado", "denso_corto", ("denso_corto", "denso_largo", "lexico")
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +85,14 @@ def qrels_test_rows(spark: SparkSession, d: str) -> DataFrame:
     return qrels.build_qrels(qrels.test_rows(_judgements(spark, d), "test", 1.0, False))
 
 
+def qrels_split(spark: SparkSession, d: str) -> DataFrame:
+    return qrels.build_qrels(qrels.split_or_first(_judgements(spark, d), "train"))
+
+
+def qrels_split_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return qrels.build_qrels(qrels.split_or_first(_judgements(spark, d), "corpus"))
+
+
 def qrels_graded(spark: SparkSession, d: str) -> DataFrame:
     graded = _judgements(spark, d).withColumn("grade", F.ceil(F.col("match_score") * 3).cast("int"))
     return qrels.build_qrels(graded, relevance="grade")
@@ -220,7 +230,17 @@ def encode_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encode_hashing(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_by_length(corpus.doc_lookup(_corpus(spark, d)), encode.HashingEncoder)
+    return encode.encode_planned(corpus.doc_lookup(_corpus(spark, d)), encode.HashingEncoder, 32768, 200)
+
+
+def encode_terms(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_sparse(corpus.doc_lookup(_corpus(spark, d)), "doc_id", "full_text", encode.TermEncoder).withColumn("weight", F.round("weight", 6))
+
+
+def encode_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each band gets by their plan, and the longest of them."""
+    rows = encode.planned(corpus.doc_lookup(_corpus(spark, d)), 200, 32768)
+    return rows.groupBy("sequence", "batch").agg(F.count("*").alias("docs"), F.max("word_count").alias("longest"))
 
 
 def encode_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +251,7 @@ def encode_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.candidates(_run(spark, d).where("model = 'lexico'"), _queries(spark, d), corpus.doc_lookup(_corpus(spark, d)))
+    return rerank.candidates(_run(spark, d).where(F.col("model") == FIRST_STAGE), _queries(spark, d), corpus.doc_lookup(_corpus(spark, d)))
 
 
 def rerank_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -240,11 +260,19 @@ def rerank_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def rerank_pending(spark: SparkSession, d: str) -> DataFrame:
     run = _run(spark, d)
-    return rerank.pending(run.where("model = 'lexico'"), run.where("model = 'cruzado'")).select("query_id", "doc_id", "rank")
+    return rerank.pending(run.where(F.col("model") == FIRST_STAGE), run.where(F.col("model") == DONE)).select("query_id", "doc_id", "rank")
 
 
 def rerank_pointwise(spark: SparkSession, d: str) -> DataFrame:
-    return rerank.overlap(_run(spark, d).where("model = 'lexico'"), _queries(spark, d), corpus.doc_lookup(_corpus(spark, d)))
+    return rerank.overlap(_run(spark, d).where(F.col("model") == FIRST_STAGE), _queries(spark, d), corpus.doc_lookup(_corpus(spark, d)))
+
+
+def rerank_pointwise_scored(spark: SparkSession, d: str) -> DataFrame:
+    return rerank.pointwise(_pairs(spark, d), rerank.jaccard)
+
+
+def rerank_work(spark: SparkSession, d: str) -> DataFrame:
+    return rerank.work_items(_run(spark, d).where(F.col("model") == FIRST_STAGE), corpus.doc_lookup(_corpus(spark, d)))
 
 
 def rerank_listwise(spark: SparkSession, d: str) -> DataFrame:
@@ -253,11 +281,11 @@ def rerank_listwise(spark: SparkSession, d: str) -> DataFrame:
 
 def maxsim_topk(spark: SparkSession, d: str) -> DataFrame:
     parts = lambda t: corpus.latest_rows(read_table(spark, d, t, "id", "embedding").where(sound(F.col("embedding"), 128)), ["id"], [F.col("embedding")]).select("id", split_vector(F.col("embedding"), TOKENS).alias("tokens"))
-    return rerank.late_interaction(_run(spark, d).where("model = 'denso_corto'"), parts("query_embeddings"), parts("doc_embeddings"))
+    return rerank.late_interaction(_run(spark, d).where(F.col("model") == VECTORS), parts("query_embeddings"), parts("doc_embeddings"))
 
 
 def hybrid_fuse_rerank(spark: SparkSession, d: str) -> DataFrame:
-    run = _run(spark, d).where("model IN ('denso_corto', 'denso_largo', 'lexico')")
+    run = _run(spark, d).where(F.col("model").isin(*HYBRID))
     return rerank.hybrid(run, _queries(spark, d), corpus.doc_lookup(_corpus(spark, d)))
 
 
@@ -299,9 +327,7 @@ def model_slug_cache_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fusion_strategies(spark: SparkSession, d: str) -> DataFrame:
-    table = strategy_table(spark)
-    listed = F.transform(F.map_entries("params"), lambda e: F.format_string("%s=%s", e["key"], e["value"]))
-    return table.select("key", "method", F.coalesce(F.concat_ws(",", listed), F.lit("")).alias("params"))
+    return strategy_table(spark).select("key", "method", F.col("label").alias("params"))
 
 
 def embeddings_by_chunk(spark: SparkSession, d: str) -> DataFrame:
@@ -319,10 +345,10 @@ def qrels_nested(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PLAIN = [
-    corpus_format_count, corpus_wordcount_filter, corpus_kept_report, corpus_lookup, corpus_snippets, qrels_build, qrels_test_rows, qrels_graded, qrels_prune, qrels_prune_report,
+    corpus_format_count, corpus_wordcount_filter, corpus_kept_report, corpus_lookup, corpus_snippets, qrels_build, qrels_test_rows, qrels_split, qrels_split_fallback, qrels_graded, qrels_prune, qrels_prune_report,
     query_map_prune, query_map_last, dense_topk, bm25_term_stats, bm25_doc_stats, bm25_stems_es, bm25_topk, bm25_topk_es, sparse_topk, run_rank, run_minmax_norm, run_candidates, fuse_all,
-    fuse_rbc_phi_sweep, fuse_grid_metrics, fuse_grid, fuse_combinations, eval_per_query, eval_run, eval_fused, eval_graded_ndcg, eval_paired_t, results_table, encode_plan, encode_hashing,
-    encode_prompts, rerank_candidates, rerank_pending, rerank_pointwise, rerank_listwise, maxsim_topk, hybrid_fuse_rerank, judgements_per_query_hist, judgements_summary,
+    fuse_rbc_phi_sweep, fuse_grid_metrics, fuse_grid, fuse_combinations, eval_per_query, eval_run, eval_fused, eval_graded_ndcg, eval_paired_t, results_table, encode_plan, encode_assigned, encode_hashing, encode_terms,
+    encode_prompts, rerank_candidates, rerank_pending, rerank_work, rerank_pointwise, rerank_pointwise_scored, rerank_listwise, maxsim_topk, hybrid_fuse_rerank, judgements_per_query_hist, judgements_summary,
     length_summary_stats, length_hist_unit, length_hist_log, show_query, random_query, model_slug_cache_key, fusion_strategies, embeddings_by_chunk, corpus_fingerprint, qrels_nested,
 ]
 _FUSED = {"fuse_rrf": "rrf", "fuse_rbc": "rbc", "fuse_combmnz": "mnz", "fuse_isr": "isr", "fuse_borda": "bordafuse", "fuse_condorcet": "condorcet"}

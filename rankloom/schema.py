@@ -1,4 +1,4 @@
-"""Schemas of the data model, as DDL, and the configurations of models and strategies."""
+"""Schemas of the data model, as DDL, and the configurations of fusion strategies."""
 
 from __future__ import annotations
 
@@ -16,16 +16,6 @@ MULTIVECTOR = "id string, tokens array<array<float>>"
 METRICS = "model string, strategy string, params string, ndcg_10 double, recall_100 double, mrr_10 double, map double, p_10 double, p_50 double"
 
 
-@dataclass(frozen=True)
-class ModelConfig:
-    """A retriever whose run is stored: its name, the short one of tables, and the lengths that it was encoded with."""
-
-    name: str
-    alias: str
-    max_q_len: int = 512
-    max_d_len: int = 512
-
-
 @dataclass(frozen=True)
 class FusionStrategy:
     """A fusion method and its parameters."""
@@ -33,6 +23,14 @@ class FusionStrategy:
     method: str
     params: dict[str, float] | None = field(default=None, hash=False)
 
+    @property
+    def label(self) -> str:
+        """The parameters as they stand in tables: names and values, joined by commas; empty without any."""
+        shown = []
+        for name, value in (self.params or {}).items():
+            shown.append(f"{name}={value:g}")
+        return ",".join(shown)
+
 
 # The fusion methods with their usual parameters.
 STRATEGIES = {
@@ -46,6 +44,6 @@ STRATEGIES = {
 
 
 def strategy_table(spark: SparkSession, strategies: dict[str, FusionStrategy] = STRATEGIES) -> DataFrame:
-    """(key, method, params) of the strategies; few rows."""
-    rows = [(k, s.method, {n: float(v) for n, v in s.params.items()} if s.params else None) for k, s in strategies.items()]
-    return spark.createDataFrame(rows, "key string, method string, params map<string,double>")
+    """(key, method, params, label) of the strategies; few rows."""
+    rows = [(k, s.method, {n: float(v) for n, v in s.params.items()} if s.params else None, s.label) for k, s in strategies.items()]
+    return spark.createDataFrame(rows, "key string, method string, params map<string,double>, label string")

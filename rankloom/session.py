@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -25,6 +26,7 @@ def build_session(name: str = "rankloom", cores: str | int = "*", shuffle_partit
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
@@ -54,7 +56,9 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` read back from a reliable checkpoint, so that a lost executor costs no recomputation of what came before.
 
     The folder is the one in ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests) a
-    temporary folder is used; on a cluster a missing setting is an error, since a machine-local folder would not do.
+    temporary folder is used, which goes with the process; on a cluster a missing setting is an error, since a machine-local
+    folder would not do. With ``spark.cleaner.referenceTracking.cleanCheckpoints``, which ``build_session`` sets, Spark deletes a
+    checkpoint when nothing refers to it any more.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -64,15 +68,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` persisted with spilling to disk, for reuse inside one query."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows as a DataFrame, handed over as Arrow, without a Python task."""
     fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
@@ -84,12 +84,3 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle whose rows are few but costly, and which adaptive coalescing should therefore leave alone."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work that outweighs moving the rows.
-
-    A scan of a large table has more partitions than that and stays as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -6,11 +6,11 @@ A written directory is complete when its success marker is there; the file outpu
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.naming import filter_suffix, model_slug
 from rankloom.operators.corpus import fingerprint
 
 
@@ -36,24 +36,16 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def dataset_path(root: str, country: str, version: str, max_words: int | None) -> str:
-    """Where judgements and query texts of a data set are, for all models."""
-    return f"{root}/shared/{country}_v{version}_{filter_suffix(max_words)}"
+def partition_path(root: str, **parts: object) -> str:
+    """The folder of one configuration: a level ``name=value`` for each part in their order, as Spark reads partition columns.
+    A part that is None is written as Hive's name of null."""
+    levels = [f"{name}={quote(str(value), safe='') if value is not None else '__HIVE_DEFAULT_PARTITION__'}" for name, value in parts.items()]
+    return "/".join([root.rstrip("/"), *levels])
 
 
-def model_path(root: str, model: str, country: str, version: str, query_length: int, doc_length: int, max_words: int | None) -> str:
-    """Where what one model made of one configuration is."""
-    return f"{root}/{model_slug(model)}/{country}_v{version}_q{query_length}_d{doc_length}_{filter_suffix(max_words)}"
-
-
-def rerank_path(root: str, reranker: str, first_stage: str) -> str:
-    """Where a reranker's run over a first stage is; of a hybrid, the first stage is its fusion slug."""
-    return f"{root}/{model_slug(reranker)}/over__{model_slug(first_stage)}"
-
-
-def fusion_slug(method: str, aliases: Sequence[str]) -> str:
-    """Name of a fused first stage."""
-    return f"{method}_{'+'.join(aliases)}"
+def fusion_name(method: str, aliases: Sequence[str]) -> str:
+    """Name of a fused first stage: its method and its runs."""
+    return "_".join((method, "+".join(aliases)))
 
 
 def save_run(run: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -87,25 +79,27 @@ def load_or_fail(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 
 def save_checkpoint(results: DataFrame, path: str, shard: str) -> None:
-    """Appends one shard's finished queries."""
-    results.withColumn("shard", F.lit(shard)).write.mode("append").partitionBy("shard").parquet(path)
+    """Writes one shard's finished queries to a folder of its own, whose success marker tells that it is whole."""
+    results.write.mode("overwrite").parquet(partition_path(path, shard=shard))
 
 
 def load_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Finished queries of all shards; empty if there are none yet."""
-    return spark.read.parquet(path).drop("shard") if exists(spark, path) else spark.createDataFrame([], schema)
+    """Finished queries of all whole shards; empty if there are none yet."""
+    fs, p = _path(spark, path)
+    shards = sorted(str(x.getPath()) for x in fs.listStatus(p)) if fs.exists(p) else []
+    whole = [x for x in shards if is_complete(spark, x)]
+    return spark.read.schema(schema).parquet(*whole) if whole else spark.createDataFrame([], schema)
 
 
 def resume(spark: SparkSession, work: DataFrame, path: str, schema: str, job: Callable[[DataFrame], DataFrame], shards: int = 4, key: str = "query_id") -> DataFrame:
-    """Runs ``job`` over the rows of ``work`` whose key has no results yet, shard by shard, and gives all results.
+    """Runs ``job`` over the rows of ``work`` shard by shard, and gives all results.
 
-    Each shard is written when it is done, so a job that was killed goes on behind its last whole shard.
+    Each shard is written when it is done, so a job that was killed goes on behind its last whole shard; whole shards are not
+    planned again, and what a killed shard left is overwritten.
     """
     for n in range(shards):
-        done = load_checkpoint(spark, path, schema).select(key).distinct()
-        rest = work.where(F.pmod(F.xxhash64(key), F.lit(shards)) == n).join(done, key, "left_anti")
-        if not rest.isEmpty():
-            save_checkpoint(job(rest), path, str(n))
+        if not is_complete(spark, partition_path(path, shard=n)):
+            save_checkpoint(job(work.where(F.pmod(F.xxhash64(key), F.lit(shards)) == n)), path, str(n))
     return load_checkpoint(spark, path, schema)
 
 
@@ -120,5 +114,5 @@ def guard(spark: SparkSession, df: DataFrame, key: str, value: str, path: str) -
 
 
 def status(spark: SparkSession, paths: dict[str, str]) -> dict[str, bool]:
-    """Which tables of a pipeline are complete."""
+    """Which tables of a pipeline are complete: what is left to be made."""
     return {name: is_complete(spark, path) for name, path in paths.items()}

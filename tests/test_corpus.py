@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import naming, text, vector
 from rankloom.operators import corpus, encode, qrels, stats
+from rankloom.schema import FusionStrategy
 
 TEXTS = [("T", "a b", "T. a b", 3), (None, " a  b\n", " a  b\n", 2), ("", "x", "x", 1), (None, None, "", 0), ("T", None, "T.", 1), (None, "a b", "a b", 2), ("  T", "x　", "T. x", 2), (None, "a\x1cb\x85c", "a\x1cb\x85c", 3)]
 
@@ -72,7 +76,7 @@ def test_chunks_are_in_order_of_length(spark):
 
 def test_encoder(spark):
     docs = spark.createDataFrame([("a", "uno dos", 2), ("b", None, 0), ("c", "", 0), (None, "x", 1), ("d", "dos uno", 2)], "doc_id string, full_text string, word_count int")
-    rows = {r["id"]: r["embedding"] for r in encode.encode_by_length(docs, encode.HashingEncoder, batch=2).collect()}
+    rows = {r["id"]: r["embedding"] for r in encode.encode_planned(docs, encode.HashingEncoder, 512, 3).collect()}
     assert set(rows) == {"a", "b", "c", "d"} and rows["a"] == rows["d"]
     assert sum(x * x for x in rows["a"]) == pytest.approx(1.0) and not any(rows["b"])
     assert encode.encode(docs.limit(0), "doc_id", "full_text", encode.HashingEncoder).count() == 0
@@ -111,10 +115,12 @@ def test_statistics(spark):
     assert stats.random_row(df, "v", 3).collect() == stats.random_row(df, "v", 3).collect()
 
 
-def test_names():
-    assert naming.model_slug("a/b") == "a__b" and naming.short_name("a/b") == "b"
-    assert naming.filter_suffix(None) == "nofilter" and naming.filter_suffix(400) == "filt400w"
-    assert naming.format_params({"phi": 0.95, "k": 60}) == "phi=0.95,k=60" and naming.format_params(None) == ""
+def test_names(spark):
+    df = spark.createDataFrame([("a/b", None), ("c", 400)], "name string, words int")
+    key = naming.cache_key_of(F.lit("full"), F.lit("1.2"), F.lit(64), F.lit(256), F.col("words"))
+    rows = df.select(naming.model_slug_of(F.col("name")), naming.short_name_of(F.col("name")), key).collect()
+    assert [tuple(r) for r in rows] == [("a__b", "b", "full_v1.2_q64_d256_nofilter"), ("c", "c", "full_v1.2_q64_d256_filt400w")]
+    assert FusionStrategy("x", {"phi": 0.95, "k": 60}).label == "phi=0.95,k=60" and FusionStrategy("x").label == ""
 
 
 def test_analyzer(spark):
@@ -122,3 +128,45 @@ def test_analyzer(spark):
     rows = df.select(text.analyze_es(F.col("t")).alias("x"), text.snippet(F.col("t"), 3).alias("s")).collect()
     assert [r["x"] for r in rows] == [["arbol", "cancion", "paris"], [], []]
     assert [r["s"] for r in rows] == ["Los...", None, ""]
+
+
+class Watching(encode.HashingEncoder):
+    """Tells its calls in the vectors."""
+
+    def __init__(self) -> None:
+        super().__init__(4)
+
+    def encode(self, texts, batch=128, length=None, is_query=False):
+        assert len(texts) <= batch
+        return np.array([[len(texts), batch, length or 0, float(is_query)]] * len(texts), np.float32)
+
+
+def test_the_encoder_is_called_by_the_plan(spark):
+    sizes = [5] * 300 + [400] * 200 + [2000] * 20
+    docs = spark.createDataFrame([(f"d{i:03d}", "x", n) for i, n in enumerate(sizes)], "doc_id string, full_text string, word_count int")
+    plan = {r["chunk"]: (r["batch"], r["sequence"]) for r in encode.chunk_plan(docs, 100, 8192).collect()}
+    assert plan == {0: (128, 512), 1: (128, 512), 2: (128, 512), 3: (32, 2048), 4: (32, 2048), 5: (8, 8192)}
+    rows = {r["id"]: r["embedding"] for r in encode.encode_planned(docs, Watching, 8192, 100, normalize=False, partitions=3).collect()}
+    assert len(rows) == 520
+    for i, n in enumerate(sizes):
+        called, batch, length, query = rows[f"d{i:03d}"]
+        assert (batch, length) == ((128, 512) if n == 5 else (32, 2048) if n == 400 else (8, 8192)) and called <= batch and not query
+    bands = encode.planned(docs, 100, 8192, partitions=3).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("sequence").alias("n")).collect()
+    assert all(r["n"] <= 2 for r in bands)  # a task has one band, or at the edge of its range two
+    asked = encode.encode(docs, "doc_id", "full_text", Watching, normalize=False, is_query=True, length=64, batch=7).first()["embedding"]
+    assert asked[1:] == [7.0, 64.0, 1.0]
+
+
+def test_sparse_encoder(spark):
+    docs = spark.createDataFrame([("a", "Sol sol luna"), ("b", None), ("c", ""), (None, "x")], "id string, text string")
+    rows = {(r["id"], r["term"]): r["weight"] for r in encode.encode_sparse(docs, "id", "text", encode.TermEncoder, "sol ").collect()}
+    assert rows == {("a", "sol"): math.log(4), ("a", "luna"): math.log(2), ("b", "sol"): math.log(2), ("c", "sol"): math.log(2)}
+    assert {r["term"] for r in encode.encode_sparse(docs, "id", "text", encode.TermEncoder, length=3).collect()} == {"sol"}
+    assert encode.encode_sparse(docs.limit(0), "id", "text", encode.TermEncoder).count() == 0
+
+
+def test_split_or_the_first(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "a")], "id int, split string")
+    ids = lambda name: sorted(r["id"] for r in qrels.split_or_first(df, name).collect())
+    assert ids("b") == [1] and ids("none") == [2, 4]
+    assert qrels.split_or_first(df.limit(0), "b").count() == 0

@@ -66,3 +66,25 @@ def test_ranks(spark):
     assert [r["doc_id"] for r in runs.rank_run(df).orderBy("rank").collect()] == ["c", "a", "b"]
     norm = {r["doc_id"]: r["norm"] for r in runs.minmax(df).collect()}
     assert norm == {"a": 0.0, "b": 0.0, "c": 1.0}
+
+
+def test_reports(spark):
+    metrics = spark.createDataFrame([("longer", "rrf", "k=60", *([1.0] * 6)), ("m", "", None, *([0.25] * 6))], "model string, strategy string, params string, " + ", ".join(f"{m} double" for m in evaluate.METRICS))
+    said: list[str] = []
+    for mode in ("box", "inline", "quiet"):
+        assert evaluate.report(metrics, mode, said.append) is metrics
+    box = said[0].split("\n")
+    assert len(said) == 4 and len({len(x) for x in box}) == 1 and "longer (rrf, k=60)" in box[1] and len(box) == 10
+    assert said[3].startswith("m: ndcg@10 0.2500")
+
+
+@pytest.mark.parametrize("t,n,p", [(2.0, 2, 0.2951672), (2.0, 3, 0.1835034), (2.0, 4, 0.1393260), (2.0, 5, 0.1161165), (0.8788, 80, 0.3821749), (3.1, 200, 0.0022157), (0.0, 9, 1.0)])
+def test_two_sided(t, n, p):
+    assert evaluate.two_sided(t, n - 1) == evaluate.two_sided(-t, n - 1) == pytest.approx(p, abs=1e-7)
+
+
+def test_lists_without_hits_in_parts(spark):
+    qrels = judged(spark, [("q1", "d1", 1), ("q2", "d1", 1)])
+    run = run_of(spark, [(f"m{i}", "q1", ["d9"]) for i in range(40)])
+    rows = evaluate.per_query(run, qrels).collect()
+    assert len(rows) == 80 and all(r["map"] == 0.0 for r in rows)

@@ -109,3 +109,11 @@ def test_a_stored_index_finds_the_same(spark, tmp_path, language):
     retrieve.build_index(docs.limit(0), empty)
     assert retrieve.bm25_topk(asked, retrieve.open_index(spark, empty)).count() == 0
     assert retrieve.bm25_topk(asked, docs.limit(0), doc_text="full_text").count() == 0
+
+
+def test_work_items(spark):
+    run = spark.createDataFrame([("q1", "d1"), ("q1", "d2"), ("q2", "gone"), ("q3", "d2"), ("q0", "d1")], "query_id string, doc_id string")
+    docs = spark.createDataFrame([("d1", 5), ("d2", 9)], "doc_id string, word_count int")
+    rows = [tuple(r) for r in rerank.work_items(run, docs).orderBy("place").collect()]
+    assert rows == [("q1", 2, 9, 1), ("q3", 1, 9, 2), ("q0", 1, 5, 3), ("q2", 1, 0, 4)]
+    assert rerank.work_items(run.limit(0), docs).count() == 0

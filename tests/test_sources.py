@@ -94,9 +94,77 @@ def test_resume_goes_on_behind_a_failure(spark, tmp_path):
 
 
 def test_paths():
-    assert store.model_path("r", "a/b", "full", "1.2", 64, 256, None) == "r/a__b/full_v1.2_q64_d256_nofilter"
-    assert store.dataset_path("r", "full", "1.2", 400) == "r/shared/full_v1.2_filt400w"
-    assert store.rerank_path("r", "x/y", store.fusion_slug("mnz", ["a", "b"])) == "r/x__y/over__mnz_a+b"
+    data = workflow.Dataset("r", max_words=400)
+    assert data.shared("docs") == "r/docs/country=full/version=1.2/max_words=400"
+    assert workflow.Dataset("r/").of_model("run", "a/b", 64, 256) == "r//run/model=a%2Fb/country=full/version=1.2/query_length=64/doc_length=256/max_words=__HIVE_DEFAULT_PARTITION__"
+    assert data.reranked("x/y", store.fusion_name("mnz", ["a", "b"])).endswith("/reranker=x%2Fy/over=mnz_a%2Bb")
+
+
+def test_partition_columns_of_paths(spark, tmp_path):
+    for model, length in (("a/b", 64), ("c", 512)):
+        run_rows(spark).drop("model").write.parquet(workflow.Dataset(str(tmp_path)).of_model("run", model, length, 256))
+    read = spark.read.parquet(str(tmp_path / "run"))
+    assert {(r["model"], r["query_length"], r["max_words"]) for r in read.select("model", "query_length", "max_words").collect()} == {("a/b", 64, None), ("c", 512, None)}
+    setup = workflow.Dataset(str(tmp_path))
+    assert {r["model"] for r in workflow.first_stage(spark, setup, "a/b", 64, 256).collect()} == {"a/b"}
+    with pytest.raises(RuntimeError):
+        workflow.first_stage(spark, setup, "a/b", 128, 256)
+
+
+def test_other_pipelines(spark, data, tmp_path):
+    from rankloom.sources.tables import read_table
+
+    docs, judged = read_table(spark, data, "corpus"), read_table(spark, data, "judgements")
+    setup = workflow.Dataset(str(tmp_path), max_words=400)
+    text, sparse = encode.EncoderSpec("own/bm25", 512, 512), encode.EncoderSpec("own/terms", 512, 512)
+    assert not any(workflow.cached(spark, setup, text).values())
+    run, metrics = workflow.text_baseline(spark, setup, text, docs, judged, 20)
+    other, weights = workflow.sparse_baseline(spark, setup, sparse, encode.TermEncoder, docs, judged, 20)
+    assert 0.0 < metrics.first()["recall_100"] <= 1.0 and 0.0 < weights.first()["recall_100"] <= 1.0
+    assert workflow.cached(spark, setup, text) == {"docs": True, "qrels": True, "queries": True, "doc_embeddings": False, "query_embeddings": False, "run": True}
+    kept, _, texts = workflow.prepared(spark, setup, docs, judged)
+    said: list[str] = []
+    pairs = run.join(texts, "query_id", "left_semi").count()
+    one = workflow.rerank_stored(spark, str(tmp_path / "points"), run, texts, kept, shards=2, job=lambda rest: rerank.pointwise(rest, rerank.jaccard), say=said.append)
+    assert one.count() == pairs and len(said) == 2 and "rows a second" in said[0]
+    vectors = lambda df, key, text: encode.encode(df, key, text, encode.HashingEncoder).selectExpr("id", "array(embedding) AS tokens")
+    q, d = vectors(texts, "query_id", "text"), vectors(kept, "doc_id", "full_text")
+    late = workflow.rerank_stored(spark, str(tmp_path / "late"), run, texts, kept, shards=2, job=lambda rest: rerank.late_interaction(rest, q, d))
+    assert late.count() == pairs
+    mixed = workflow.hybrid_stored(spark, str(tmp_path / "hybrid"), run.unionByName(other), texts, kept, STRATEGIES["combmnz"], shards=2)
+    assert mixed.count() == run.unionByName(other).select("query_id", "doc_id").distinct().join(texts, "query_id", "left_semi").count()
+    assert workflow.hybrid_stored(spark, str(tmp_path / "hybrid"), run, texts, kept, STRATEGIES["combmnz"]).count() == mixed.count()
+    assert workflow.executor_memory(spark)
+
+
+def test_json_is_streamed(spark, tmp_path):
+    made = {f"q{i} ñ\"": {f"d{j}": j * 1.5 for j in range(i % 4)} for i in range(50)} | {"n": None}
+    (tmp_path / "run.json").write_text(json.dumps(made, indent=1))
+    for chunk in (1, 7, 1_000_000):
+        assert dict(interchange.json_entries(str(tmp_path / "run.json"), chunk)) == made
+    rows = interchange.read_json_run(spark, str(tmp_path / "run.json"), "m").collect()
+    assert {(r["query_id"], r["doc_id"], r["score"]) for r in rows} == {(q, d, s) for q, own in made.items() for d, s in (own or {}).items()}
+    (tmp_path / "ids.json").write_text("[1, \"b\", 345]")
+    assert [list(interchange.json_entries(str(tmp_path / "ids.json"), c)) for c in (1, 2, 99)] == [[1, "b", 345]] * 3
+    assert interchange.read_ids(str(tmp_path / "ids.json"), 1, 2) == ["b"] and interchange.read_ids(str(tmp_path / "ids.json")) == ["1", "b", "345"]
+    for text in ("", "[1, 2", "3", '{"a" 1}'):
+        (tmp_path / "bad.json").write_text(text)
+        with pytest.raises(ValueError):
+            list(interchange.json_entries(str(tmp_path / "bad.json")))
+    (tmp_path / "empty.json").write_text(" {} ")
+    assert list(interchange.json_entries(str(tmp_path / "empty.json"))) == []
+
+
+def test_compressed_matrices(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 5, 40)
+    indptr = np.concatenate([[0], np.cumsum(counts)])
+    values, terms = rng.random(indptr[-1]).astype(np.float32), rng.integers(0, 99, indptr[-1])
+    np.savez_compressed(tmp_path / "merged.npz", data=values, indices=terms, indptr=indptr, shape=np.array([40, 99]))
+    (tmp_path / "ids.json").write_text(json.dumps(list(range(40))))
+    for parts in (1, 7, None):
+        rows = sorted(map(tuple, interchange.read_csr(spark, str(tmp_path), parts).collect()))
+        assert rows == sorted((str(i), str(terms[k]), float(values[k])) for i in range(40) for k in range(indptr[i], indptr[i + 1]))
 
 
 def test_whole_pipelines(spark, data, tmp_path):
