@@ -236,7 +236,7 @@ def judged_grid(run: DataFrame, qrels: DataFrame, combos: Sequence[tuple[str, ..
     home = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int")
     every = F.when(F.col("judged"), F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array(F.col("home")))
     placed = wide.withColumn("home", home).select("query_id", "doc_id", "r", "n", F.coalesce("judged", F.lit(False)).alias("judged"), "home", F.explode(every).alias("block"))
-    above = placed.groupBy("query_id", "block").applyInArrow(_above_judged(models, combos, strategies), "combo int, strategy int, query_id string, doc_id string, above bigint")
+    above = placed.repartition(shuffle_partitions(run.sparkSession), "query_id", "block").groupBy("query_id", "block").applyInArrow(_above_judged(models, combos, strategies), "combo int, strategy int, query_id string, doc_id string, above bigint")
     ranks = above.groupBy("combo", "strategy", "query_id", "doc_id").agg((F.sum("above") + 1).cast("int").alias("rank"))
     name = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(c) + 1)
     return ranks.select(
