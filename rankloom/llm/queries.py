@@ -76,6 +76,12 @@ def p3_items(spark: SparkSession, folder: str) -> DataFrame:
     return _p3(spark, folder).groupBy("docid").agg(F.sum("words").cast("bigint").alias("words"), F.count("*").cast("bigint").alias("pieces"))
 
 
+def p3_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What any packing must keep: items, pieces and words in all, and no container over its capacity."""
+    bins = _p3(spark, folder).groupBy("container").agg(F.sum("words").alias("words"), F.count("*").alias("pieces"), F.count_if(F.col("piece") == 0).alias("items"))
+    return bins.agg(F.sum("items").alias("items"), F.sum("pieces").alias("pieces"), F.sum("words").alias("words"), F.count_if(F.col("words") > packing.CAPACITY).alias("overfull"))
+
+
 def p3_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Containers used, the least number possible by their words, and the share of their space that is used."""
     bins = _p3(spark, folder).groupBy("container").agg(F.sum("words").alias("words"))
@@ -137,7 +143,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-_QUERIES = [p1_found, p1_pieces, p1_layout, p2_found, p2_recall, p3_found, p3_bins, p3_items, p3_fill, p4_found, p4_ranked, p5_found, p5_statistics, p5_word_counts, p6_ids, p6_decoded, p7_found, p8_found]
+_QUERIES = [p1_found, p1_pieces, p1_layout, p2_found, p2_recall, p3_found, p3_bins, p3_items, p3_totals, p3_fill, p4_found, p4_ranked, p5_found, p5_statistics, p5_word_counts, p6_ids, p6_decoded, p7_found, p8_found]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -174,6 +180,7 @@ s AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_cosine_similarity(q.em
 SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS n FROM (SELECT query_id, doc_id, max(sim) AS sim FROM s GROUP BY ALL)) WHERE n <= 10""",
         "p3_found": f"SELECT docid FROM ({_ITEMS}) WHERE words > 512",
         "p3_items": f"SELECT docid, CAST(words AS BIGINT) AS words, CAST(greatest(1, ceil(words / 512.0)) AS BIGINT) AS pieces FROM ({_ITEMS})",
+        "p3_totals": f"SELECT count(*) AS items, CAST(sum(greatest(1, ceil(words / 512.0))) AS BIGINT) AS pieces, CAST(sum(words) AS BIGINT) AS words, CAST(0 AS BIGINT) AS overfull FROM ({_ITEMS})",
         "p4_found": f"SELECT model, query_id, doc_id FROM ({_TOP})",
         "p4_ranked": _TOP,
         "p5_word_counts": f"SELECT docid, CAST(coalesce(len(regexp_extract_all(text, '[^{_SPACE}]+')), 0) AS BIGINT) AS words, coalesce(word_count = coalesce(len(regexp_extract_all(text, '[^{_SPACE}]+')), 0), false) AS words_claimed_right FROM corpus",
